@@ -1,0 +1,90 @@
+import hashlib
+import math
+import re
+
+from pyspark.sql import functions as F
+
+from lavra.llm import secrets as m
+from lavra.llm.queries import op3_secrets
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base(text):
+    text = text or ""
+    found = [("assign", *x.span()) for x in ASSIGN.finditer(text) if len(x[1]) >= 12]
+    found += [("access", *x.span()) for x in re.finditer("AKIA[A-Z0-9]+", text) if len(x[0]) >= 18]
+    found += [("hex", *x.span()) for x in re.finditer("[0-9a-f]+", text) if len(x[0]) >= 16]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(found, key=lambda x: (x[1], order[x[0]]))
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def want(rows):
+    out = []
+    for d, t in rows:
+        spans = base(t)
+        out.append((d, *(sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")), digest(spans)))
+    return sorted(out)
+
+
+def got(df):
+    return sorted((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in df.collect())
+
+
+def test_fixture(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = op3_secrets(spark, str(tmp_path))
+    assert got(df) == want([r[:2] for r in rows])
+    text = {r["doc_id"]: r["spans"] for r in df.collect()}
+    last = rows[27][1]
+    assert text[27] == f"random:0:{last.index(' ')}"  # a random token is found, a constant one isn't
+    assert text[0] == ""
+
+
+def test_given_data(spark, sf, given):
+    df = op3_secrets(spark, sf)
+    assert got(df) == want(given)
+    for r in df.collect():
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("random")] == [f"{k}:{a}:{b}" for k, a, b in base(dict(given)[r["doc_id"]])]
+
+
+def test_redaction(docs, rows):
+    out = {r["doc_id"]: r["text"] for r in m.redact(docs).collect()}
+    assert out[23] == "[secret] and [secret] [secret]"
+    assert out[22] == rows[22][1] and out[0] == ""
+
+
+def test_empty(empty):
+    assert m.find_secrets(empty).count() == 0
+
+
+def test_battery_against_plain_python(spark):
+    values = ["Zq8Vn2kLx0RtY7uWbP3mJc6HdS9aGf1E", "aaaaaaaaaaaaaaaaaaaaaaa1", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "deadbeefdeadbeefdeadbeef00", "ab-cd_ef/gh+ij0123456789kl"]
+    rows = m.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    for r in rows:
+        letters = next(a for _, a in m.ALPHABETS if not set(r["value"]) - set(a))
+        x = [letters.index(c) for c in r["value"]]
+        n, k = len(x), len(letters)
+        chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+        z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+        sf = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+        changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:], strict=False))
+        runs = min(1, 2 * sf(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4)))
+        mid = (k - 1) / 2
+        serial = min(1, 2 * sf(abs(sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False))) / (math.sqrt(n - 1) * (k * k - 1) / 12)))
+        assert abs(r["chi_p"] - sf(z)) < 1e-6 and abs(r["runs_p"] - runs) < 1e-6 and abs(r["serial_p"] - serial) < 1e-6
+        assert abs(r["p"] - min(1, 3 * min(r["chi_p"], r["runs_p"], r["serial_p"]))) < 1e-9
+
+
+def test_step_up_on_the_histogram(spark):
+    ps = [1e-9, 1e-5, 0.001, 0.3, 0.9, 0.5, 0.7]
+    rows = spark.createDataFrame([(20, p) for p in ps], "stratum int, p double").withColumn("bin", m._bin())
+    cut = m.thresholds(rows, 0.05).collect()[0]["cut"]
+    rejected = sorted(r["p"] for r in rows.where(F.col("bin") >= cut).collect())
+    exact = max(i for i, p in enumerate(sorted(ps), 1) if p <= 0.05 * i / len(ps))
+    assert rejected == sorted(ps)[: len(rejected)] and len(rejected) <= exact
+    assert len(rejected) == 3
