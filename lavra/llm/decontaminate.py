@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def number_of(word: str) -> int:
+    """62 bits of the word's hash, never 0: the same in every block of items."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2 | 1
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -131,7 +137,7 @@ class Index:
         self.number: dict[str, int] = {}
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, ws in items:
-            by[len(ws)].append((item_id, np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws])))
+            by[len(ws)].append((item_id, np.array([self.number.setdefault(w, number_of(w)) for w in ws])))
         self.lengths = []
         for length, group in sorted(by.items()):
             edits = math.floor((1 - similarity) * length + 1e-9)
@@ -151,7 +157,8 @@ class Index:
         for length, edits, group, tables in self.lengths:
             if len(stream) < length:
                 continue
-            starts = np.flatnonzero(known[length:] - known[:-length] >= length - edits)
+            # a best stretch can be trimmed to start at a word of the item
+            starts = np.flatnonzero((known[length:] - known[:-length] >= length - edits) & (stream[: len(stream) - length + 1] > 0))
             for lo in range(0, len(starts), 1 << 14):
                 out += self._verified(stream, starts[lo : lo + (1 << 14)], length, edits, group, tables)
         return out
@@ -232,7 +239,7 @@ def _hits(shared):
             stream += [get(w, 0) for w in words(t)]
             stream += gap  # no window reaches another document
         best: list[dict[int, float]] = [{} for _ in texts]
-        for at, item, sim in index.matches(np.array(stream, np.int32)):
+        for at, item, sim in index.matches(np.array(stream, np.int64)):
             d = best[int(np.searchsorted(starts, at, "right")) - 1]
             d[item] = max(sim, d.get(item, 0.0))
         return [[{"item_id": i, "similarity": s} for i, s in sorted(d.items())] for d in best]

@@ -2,8 +2,8 @@ r"""Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 ``P(grade <= k) = sigmoid(threshold[k] - s)`` with ordered thresholds and one score
 ``s = w . x`` shared by all grades. ``x`` is the text's token profile: shares of hashed tokens
-(words lower-cased; runs of punctuation; a marker for words in capitals), in ``2**bits``
-buckets. The expected grade and the tail probability ``P(grade >= good)`` select documents.
+(words lower-cased; runs of punctuation; markers for words in capitals and for words that
+follow themselves, with or without a mark between), in ``2**bits`` buckets. The expected grade and the tail probability ``P(grade >= good)`` select documents.
 Two grades make it logistic regression; any number of integer grades works alike.
 
 Training is on at most ``per_class`` labelled documents of each grade, none of them held out
@@ -34,12 +34,17 @@ from .common import id_text
 from .training import HELD_OUT, fold, labelled_sample
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+AGAIN = "\0again"
 BITS = 18
 CACHE = 400_000  # tokens whose weight a worker remembers; then it starts anew
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text or "")
+    """Words and runs of punctuation, and a marker wherever a word follows itself."""
+    found = TOKEN.findall(text or "")
+    marked = [AGAIN for a, b in zip(found, found[1:], strict=False) if a == b]
+    marked += [AGAIN for a, b in zip(found, found[2:], strict=False) if a == b and a.isalnum()]
+    return found + marked
 
 
 def bucket(token: str, bits: int = BITS) -> int:

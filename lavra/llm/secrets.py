@@ -87,7 +87,7 @@ def _normal_sf(z: Column) -> Column:
 
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds encoding, chi_p, runs_p, serial_p and p to rows with a ``value`` column."""
-    stripped = F.rtrim(F.lit("="), F.col("value"))
+    stripped = F.rtrim(F.col("value"), F.lit("="))
     out = tokens.withColumn("body", F.when(F.length(stripped) > 0, stripped).otherwise(F.col("value")))
     encoding = F.lit(None).cast("struct<name:string,letters:string>")
     for name, letters in reversed(ALPHABETS):

@@ -1,14 +1,16 @@
 r"""Toxicity by multiple-instance learning.
 
 Only documents carry labels, yet toxicity sits in sentences. A sentence has the probability
-``p = sigmoid(bias + sum of its words' weights)``; a document is toxic if any sentence is:
+``p = sigmoid(bias + sum of its words' weights)``, where a word's weight is that of the word
+itself plus those of its beginnings (offensive stems come with many endings). Weights aren't
+negative: harmless words, however many, don't make up for an offensive one. A document is toxic if any sentence is:
 ``P = 1 - prod(1 - p)`` (noisy-or). Weights are trained on document labels through the
 noisy-or, after which the sentence scores locate what offends.
 
 Training is on at most ``per_class`` labelled documents of each class whose
 ``crc32(doc_id as text) mod 3`` isn't 1 (whole texts, tokenised on the executors; the driver
-receives word numbers). Words that occur in fewer than ``min_docs`` sampled documents have no
-weight. Scoring covers every document and whole texts, in one pass without a shuffle; the
+receives the distinct words of sentences). Features of fewer than ``min_docs`` sampled documents
+have no weight. Scoring covers every document and whole texts, in one pass without a shuffle; the
 model, of bounded size as its sample is, is broadcast.
 
 Defined results: null and empty texts have no sentences and score 0; without labels of both
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -33,60 +36,95 @@ from .training import HELD_OUT, fold, labelled_sample
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PREDICT_AT = 0.7
+LEAST, MOST = 3, 8  # letters of the beginnings
+CACHE = 400_000
 
 
 def sentences(text: str | None) -> list[list[str]]:
     return [w for s in SENTENCE.findall((text or "").lower()) if (w := WORD.findall(s))]
 
 
+def features(word: str) -> list[str]:
+    """The word and its beginnings of LEAST to MOST letters."""
+    return [f"={word}", *(word[:n] for n in range(LEAST, min(MOST, len(word)) + 1))]
+
+
 def _bags(sample: DataFrame) -> list:
     def run(batches):
         for b in batches:
-            bags = []
-            for t in b.column(1):
-                bags.append([" ".join(sorted(set(s))) for s in sentences(t.as_py())])
+            bags = [[" ".join(sorted(set(s))) for s in sentences(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(bags, pa.list_(pa.string()))], ["y", "bags"])
 
     return sample.select("doc_id", "text", "y").mapInArrow(run, "y int, bags array<string>").collect()
 
 
-def train(sample: DataFrame, min_docs: int = 4, epochs: int = 150, l2: float = 1e-4) -> tuple[dict[str, float], float]:
-    """(word weights, bias) of the noisy-or model, by Adam on all of the bounded sample."""
+Model = tuple[dict[str, float], float]
+
+
+def train(sample: DataFrame, min_docs: int = 3, epochs: int = 200, l1: float = 1e-6) -> Model:
+    """(feature weights, bias) of the noisy-or model, by Adam on all of the bounded sample."""
     rows = _bags(sample)
     y = np.array([r["y"] > 0 for r in rows], np.float64)
     if len(rows) == 0 or y.min() == y.max():
         return {}, -math.inf
-    seen = Counter(w for r in rows for w in {w for s in r["bags"] for w in s.split(" ")})
-    number = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
-    word, sentence, doc = [], [], []
+    number: dict[str, int] = {}
+    word, sentence, doc = array("i"), array("i"), array("i")
     for d, r in enumerate(rows):
         for s in r["bags"]:
-            ids = [number[w] for w in s.split(" ") if w in number]
-            word += ids
-            sentence += [len(doc)] * len(ids)
+            ids = [number.setdefault(w, len(number)) for w in s.split(" ")]
+            word.extend(ids)
+            sentence.extend([len(doc)] * len(ids))
             doc.append(d)
-    word, sentence, doc = np.array(word, np.int32), np.array(sentence, np.int32), np.array(doc, np.int32)
     del rows
-    weight, bias = np.zeros(len(number)), -4.0
-    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)  # both classes weigh the same
-    m, v = np.zeros(len(number) + 1), np.zeros(len(number) + 1)
+    word, sentence, doc = (np.frombuffer(x, np.int32) for x in (word, sentence, doc))
+    pairs = np.unique(doc[sentence].astype(np.int64) << 32 | word) & 0xFFFFFFFF  # each word of a document once
+    n_docs = np.bincount(pairs, minlength=len(number))
+    seen: Counter = Counter()
+    for w, n in zip(number, n_docs.tolist(), strict=True):
+        for f in features(w):
+            seen[f] += n
+    kept = {f: i for i, f in enumerate(f for f, n in seen.items() if n >= min_docs)}
+    owner, feature = array("i"), array("i")
+    for w, i in number.items():
+        ids = [kept[f] for f in features(w) if f in kept]
+        owner.extend([i] * len(ids))
+        feature.extend(ids)
+    owner, feature = np.frombuffer(owner, np.int32), np.frombuffer(feature, np.int32)
+    weight, bias = np.zeros(len(kept)), -4.0
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
+    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, epochs + 1):
-        z = bias + np.bincount(sentence, weight[word], len(doc))
-        p = 1 / (1 + np.exp(-z))
+        z = bias + np.bincount(sentence, np.bincount(owner, weight[feature], len(number))[word], len(doc))
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         clean = np.exp(-np.bincount(doc, np.logaddexp(0, z), len(y)))  # prod(1 - p)
-        pull = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share / len(y)
+        pull = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
         g = pull[doc] * p
-        grad = np.append(np.bincount(word, g[sentence], len(number)) + l2 * weight, g.sum())
+        by_word = np.bincount(word, g[sentence], len(number))
+        grad = np.append(np.bincount(feature, by_word[owner], len(kept)) + l1, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weight, bias = weight - move[:-1], bias - move[-1]
-    return {w: float(weight[i]) for w, i in number.items() if abs(weight[i]) > 1e-3}, float(bias)
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+        weight, bias = np.maximum(0.0, weight - move[:-1]), bias - move[-1]
+    return {f: float(weight[i]) for f, i in kept.items() if abs(weight[i]) > 1e-3}, float(bias)
+
+
+class _Weights(dict):
+    """Weights by word: the sum over its features, remembered for up to CACHE words."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.of = weights.get
+
+    def __missing__(self, word):
+        if len(self) >= CACHE:
+            self.clear()
+        w = self[word] = sum([self.of(f, 0.0) for f in features(word)])
+        return w
 
 
-def sentence_scores(text: str | None, weights: dict[str, float], bias: float) -> list[float]:
+def sentence_scores(text: str | None, weights: _Weights, bias: float) -> list[float]:
     """The logit of every sentence."""
-    get = weights.get
-    return [bias + sum([get(w, 0.0) for w in set(s)]) for s in sentences(text)]
+    get = weights.__getitem__
+    return [bias + sum(map(get, set(s))) for s in sentences(text)]
 
 
 def noisy_or(logits: list[float]) -> float:
@@ -97,12 +135,12 @@ def noisy_or(logits: list[float]) -> float:
     return -math.expm1(-total)
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, n_sentences, offending (0-based numbers of sentences of 0.5 or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        weights, bias = shared.value
+        weights, bias = _Weights(shared.value[0]), shared.value[1]
         for b in batches:
             out = [sentence_scores(t.as_py(), weights, bias) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -118,7 +156,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<long>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, offending, one row per input row."""
     model = train(labelled_sample(docs, labels, "toxic", per_class))
     return score(docs, model).select(

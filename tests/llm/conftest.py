@@ -26,7 +26,7 @@ def fixture_rows():
         "api_key=abc=token: qqqqqqqqqqqqqqqq SECRET='0123456789abcdef0123' éé deadbeefdeadbeef00",
         "mail und.34@mail7.example.com call +1 (017) 555-7713 from 97.51.17.173 on 2021-03-04 card 4539 1488 0343 6467",
         "not a card 4539148803436468 nor ip 300.1.1.1 nor date 2021-02-30, ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00",
-        "Zq8Vn2kLx0RtY7uWbP3mJc6HdS9aGf1E and aaaaaaaaaa1aaaaaaaaaaaaaaaaaa",
+        "k3JpWq0vXz7LtB5nRmYd8sHc2FgA4eUo and zzzzzzzzzz1zzzzzzzzzzzzzzzzzzzzzzzz",
     ]
     rows = [(i, t, "en", "s", None, "k", 1, "x") for i, t in enumerate(texts)]
     return rows + [rows[6], rows[7], rows[6][:2] + (None,) * 6]

