@@ -1,0 +1 @@
+"""Legal-document structuring on Spark: documents in, citable rows out."""
