@@ -12,9 +12,10 @@ of the largest allowed number are simulated on random strings of that length, an
 are added until the share found reaches ``recall``. Every candidate is verified by the exact
 edit distance.
 
-Windows are only embedded where they can match at all: a stretch within e edits of an item
-has at least L - e words of the item, so a window with fewer words of any item's vocabulary
-is passed over (a bound, not a heuristic; words of no item share one number).
+Windows are only embedded where they can match at all: an edit changes at most two pairs of
+neighbouring words, so a stretch within e edits of an item keeps L - 1 - 2e of its pairs, and a
+window with fewer pairs of any item is passed over (a bound, not a heuristic; words of no
+item share one number).
 
 Scale: one pass over whole texts, no shuffle; a row's result is its own. The items travel in
 blocks of at most ``block_mb`` of text, checked; a larger benchmark takes several blocks, each
@@ -130,6 +131,11 @@ def edit_distances(region: np.ndarray, item: np.ndarray) -> np.ndarray:
     return d.min(1)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+
+
 class Index:
     """The items of one block, by length: vocabulary, embeddings to draw and the cells of the items."""
 
@@ -138,6 +144,7 @@ class Index:
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, ws in items:
             by[len(ws)].append((item_id, np.array([self.number.setdefault(w, number_of(w)) for w in ws])))
+        self.pairs = np.unique(np.concatenate([_pair(x[:-1], x[1:]) for g in by.values() for _, x in g]) if by else np.zeros(0, np.uint64))
         self.lengths = []
         for length, group in sorted(by.items()):
             edits = math.floor((1 - similarity) * length + 1e-9)
@@ -153,12 +160,19 @@ class Index:
     def matches(self, stream: np.ndarray) -> list[tuple[int, int, float]]:
         """(start, item_id, similarity) of the verified windows in a stream of word numbers."""
         out = []
-        known = np.concatenate([[0], np.cumsum(stream > 0)])
+        if len(stream) < 2 or not len(self.pairs):
+            return out
+        known = np.zeros(len(stream) + 1, np.int32)
+        both = np.flatnonzero((stream[:-1] > 0) & (stream[1:] > 0))
+        pair = _pair(stream[both], stream[both + 1])
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known[both[self.pairs[at] == pair] + 1] = 1  # a pair counts at its first word
+        known = np.cumsum(known, dtype=np.int32)
         for length, edits, group, tables in self.lengths:
             if len(stream) < length:
                 continue
-            # a best stretch can be trimmed to start at a word of the item
-            starts = np.flatnonzero((known[length:] - known[:-length] >= length - edits) & (stream[: len(stream) - length + 1] > 0))
+            starts = np.flatnonzero(known[length - 1 : -1] - known[: len(stream) - length + 1] >= length - 1 - 2 * edits)
+            starts = starts[stream[starts] > 0]  # a best stretch can be trimmed to start at a word of the item
             for lo in range(0, len(starts), 1 << 14):
                 out += self._verified(stream, starts[lo : lo + (1 << 14)], length, edits, group, tables)
         return out
