@@ -400,7 +400,7 @@ def overrides_by_kind(spark, sf):
 
 # --- sources -------------------------------------------------------------------------------
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\r\n?', E'\n', 'g'), '\n[ \t\x0B\f]*\n\s*') AS p FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\r\n?', E'\n', 'g'), '\n(?:[ \t\x0B\f]*\n)+') AS p FROM documents)
 SELECT doc_id, CAST(len(list_filter(p, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')) AS BIGINT) AS n FROM d""")
 def txt_paragraphs(spark, sf):
     docs = _table(spark, sf, "documents")

@@ -34,7 +34,7 @@ def clean(text: str) -> str:
 def txt_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text to blocks: paragraphs are parted by blank lines, their lines joined by a space."""
     lines = F.regexp_replace("text", "\r\n?", "\n")
-    paras = docs.select("doc_id", F.posexplode(F.filter(F.split(lines, r"\n[ \t\x0B\f]*\n\s*"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")).alias("idx", "raw"))
+    paras = docs.select("doc_id", F.posexplode(F.filter(F.split(lines, r"\n(?:[ \t\x0B\f]*\n)+"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")).alias("idx", "raw"))
     first = F.regexp_replace(F.regexp_replace("raw", "^\n+", ""), "\t", " " * TAB)
     indent = F.length(F.regexp_extract(first, "^( *)", 1)) * TWIPS_PER_BLANK
     none = F.lit(None)
@@ -261,6 +261,8 @@ def _read_by(kind: str, parse):
             frame = pd.DataFrame(rows, columns=names)
             for c in ("doc_id", "idx", "outline_level", "ilvl", "indent_direct", "indent_effective"):
                 frame[c] = frame[c].astype("Int64")
+            for c in ("kind", "text", "style", "num_id", "error"):
+                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
             yield frame
 
     return lambda df: df.mapInPandas(run, schema)
