@@ -178,24 +178,32 @@ class Index:
         return out
 
     def _verified(self, stream, starts, length, edits, group, tables):
-        windows = np.lib.stride_tricks.sliding_window_view(stream, length)[starts]
+        if not len(starts):
+            return []
+        padded = np.concatenate([stream, np.zeros(length + edits, stream.dtype)])
+        regions = np.lib.stride_tricks.sliding_window_view(padded, length + edits)[starts]
+        # passages recur: equal stretches (by 64 bits of hash) are embedded and verified once
+        odd = _mix(np.arange(1, length + edits + 1, dtype=np.uint64)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            _, first, same = np.unique((_mix(regions.astype(np.uint64)) * odd).sum(1), return_index=True, return_inverse=True)
+        regions = regions[first]
         pairs = set()
         for seed, (keys, owner) in enumerate(tables):
-            own = cells(embed(windows, seed, steps_for(length)), seed)
+            own = cells(embed(regions[:, :length], seed, steps_for(length)), seed)
             lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             for i, t in zip(*np.nonzero(hi > lo), strict=True):
                 pairs.update((int(o), int(i)) for o in owner[lo[i, t] : hi[i, t]])
         by = defaultdict(list)
         for o, i in pairs:
             by[o].append(i)
+        order = np.argsort(same, kind="stable")
+        bounds = np.searchsorted(same[order], np.arange(len(first) + 1))
         out = []
-        padded = np.concatenate([stream, np.zeros(length + edits, stream.dtype)])
         for o, at in by.items():
             item_id, item = group[o]
-            region = np.lib.stride_tricks.sliding_window_view(padded, length + edits)[starts[sorted(at)]]
-            for start, d in zip(starts[sorted(at)], edit_distances(region, item), strict=True):
+            for i, d in zip(at, edit_distances(regions[at], item), strict=True):
                 if d <= edits:
-                    out.append((int(start), item_id, 1 - d / length))
+                    out += [(int(s), item_id, 1 - int(d) / length) for s in starts[order[bounds[i] : bounds[i + 1]]]]
         return out
 
 
