@@ -14,8 +14,8 @@ edit distance.
 
 Windows are only embedded where they can match at all: an edit changes at most two pairs of
 neighbouring words, so a stretch within e edits of an item keeps L - 1 - 2e of its pairs, and a
-window with fewer pairs of any item is passed over (a bound, not a heuristic; words of no
-item share one number).
+window with fewer pairs of every item is passed over (a bound, not a heuristic; words of no
+item share one number). Places of known pairs are listed by item, so the cost follows them.
 
 Scale: one pass over whole texts, no shuffle; a row's result is its own. The items travel in
 blocks of at most ``block_mb`` of text, checked; a larger benchmark takes several blocks, each
@@ -144,7 +144,14 @@ class Index:
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, ws in items:
             by[len(ws)].append((item_id, np.array([self.number.setdefault(w, number_of(w)) for w in ws])))
-        self.pairs = np.unique(np.concatenate([_pair(x[:-1], x[1:]) for g in by.values() for _, x in g]) if by else np.zeros(0, np.uint64))
+        each = [(length, np.unique(_pair(x[:-1], x[1:]))) for length, g in sorted(by.items()) for _, x in g]
+        self.sizes = np.array([length for length, _ in each], np.int64)  # of the items, numbered in this order
+        found = np.concatenate([p for _, p in each]) if each else np.zeros(0, np.uint64)
+        order = np.argsort(found, kind="stable")
+        self.pairs, first = np.unique(found[order], return_index=True)
+        self.holders = np.repeat(np.arange(len(each)), [len(p) for _, p in each])[order]  # items of each pair, from ``bounds``
+        self.bounds = np.append(first, len(found))
+        self.needed = self.sizes - 1 - 2 * np.floor((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
         self.lengths = []
         for length, group in sorted(by.items()):
             edits = math.floor((1 - similarity) * length + 1e-9)
@@ -162,21 +169,48 @@ class Index:
         out = []
         if len(stream) < 2 or not len(self.pairs):
             return out
-        known = np.zeros(len(stream) + 1, np.int32)
-        both = np.flatnonzero((stream[:-1] > 0) & (stream[1:] > 0))
-        pair = _pair(stream[both], stream[both + 1])
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        known[both[self.pairs[at] == pair] + 1] = 1  # a pair counts at its first word
-        known = np.cumsum(known, dtype=np.int32)
+        starts_of = self._starts(stream)
         for length, edits, group, tables in self.lengths:
-            if len(stream) < length:
-                continue
-            starts = np.flatnonzero(known[length - 1 : -1] - known[: len(stream) - length + 1] >= length - 1 - 2 * edits)
+            starts = starts_of(length)
+            starts = starts[(starts >= 0) & (starts <= len(stream) - length)]
             starts = starts[stream[starts] > 0]  # a best stretch can be trimmed to start at a word of the item
             for lo in range(0, len(starts), 1 << 14):
                 out += self._verified(stream, starts[lo : lo + (1 << 14)], length, edits, group, tables)
         return out
 
+    def _starts(self, stream: np.ndarray):
+        """A function of the length: sorted starts of the windows that keep enough pairs of one item of that length."""
+        both = np.flatnonzero((stream[:-1] > 0) & (stream[1:] > 0))
+        pair = _pair(stream[both], stream[both + 1])
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        hit = self.pairs[at] == pair
+        place, at = both[hit], at[hit]
+        count = self.bounds[at + 1] - self.bounds[at]
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item, place = self.holders[np.repeat(self.bounds[at], count) + nth], np.repeat(place, count)
+        order = np.argsort(item, kind="stable")  # places stay ascending within an item
+        item, place = item[order], place[order]
+        low, high = np.searchsorted(item, np.arange(len(self.sizes)), "left"), np.searchsorted(item, np.arange(len(self.sizes)), "right")
+
+        def of(length: int) -> np.ndarray:
+            ranges = []
+            for k in np.flatnonzero(self.sizes == length):
+                need, p = self.needed[k], place[low[k] : high[k]]
+                if need < 1:
+                    return np.arange(len(stream))
+                if len(p) < need:
+                    continue
+                last, first = p[need - 1 :], p[: len(p) - need + 1]
+                near = last - first <= length - 2  # the window holds all pairs between
+                ranges.append(np.stack([last[near] - (length - 2), first[near]]))
+            if not ranges:
+                return np.zeros(0, np.int64)
+            lo, hi = np.concatenate(ranges, 1)
+            n = hi - lo + 1
+            return np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+        return of
+
     def _verified(self, stream, starts, length, edits, group, tables):
         if not len(starts):
             return []
