@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from ..operators import articulation as statutes
 from ..operators import hierarchy, profiles, quotation, reports, routing, segmentation, segments
 from ..sources import readers
 from . import oracle as O
@@ -359,6 +360,46 @@ def reference_overlap(spark, sf):
     return packed.select("doc_id", F.explode(segments.usable_references(F.col("refs"), F.lit(50))).alias("r")).select("doc_id", "r.*")
 
 
+# --- articulation, lists, fields -----------------------------------------------------------
+
+_ARTICLES = f"""WITH {O.LABELLED}, l AS (SELECT doc_id, idx, text, coalesce(kind, '') AS kind, value, {O.has('b', L.SOLE_PARAGRAPH)} AS sole FROM labels),
+a AS (SELECT *, max(CASE WHEN kind = 'artigo' THEN idx END) OVER w AS article_at FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+b AS (SELECT a.*, 'art' || h.value AS article, max(CASE WHEN a.kind = 'paragrafo' THEN a.idx END) OVER (PARTITION BY a.doc_id, article_at ORDER BY a.idx) AS par_at FROM a LEFT JOIN l h ON h.doc_id = a.doc_id AND h.idx = article_at),
+c AS (SELECT b.*, article || '_par' || CASE WHEN p.sole THEN '1u' ELSE p.value END AS par FROM b LEFT JOIN l p ON p.doc_id = b.doc_id AND p.idx = par_at),
+d AS (SELECT *, coalesce(par, article || '_cpt') AS holder, count(*) FILTER (WHERE kind = 'roman') OVER (PARTITION BY doc_id, article_at, par_at ORDER BY idx) AS nth FROM c),
+e AS (SELECT *, CASE kind WHEN 'artigo' THEN article WHEN 'paragrafo' THEN par WHEN 'roman' THEN holder || '_inc' || nth END AS id FROM d),
+bad AS (SELECT doc_id FROM e WHERE article_at IS NULL UNION SELECT doc_id FROM e WHERE id IS NOT NULL GROUP BY doc_id, id HAVING count(*) > 1)
+SELECT doc_id, idx, CASE kind WHEN 'artigo' THEN 'artigo' WHEN 'paragrafo' THEN 'paragrafo' WHEN 'roman' THEN 'inciso' ELSE 'texto' END AS role, id,
+  CASE kind WHEN 'artigo' THEN NULL WHEN 'paragrafo' THEN article ELSE holder END AS parent FROM e WHERE doc_id NOT IN (SELECT doc_id FROM bad)"""
+
+
+@query(_ARTICLES)
+def articulation(spark, sf):
+    return statutes.articulation(legal_blocks(spark, sf))
+
+
+@query(f"""WITH {O.LABELLED}, s AS (SELECT doc_id, idx, kind, CASE WHEN length(text) % 3 <> 0 THEN 'L' || (length(text) % 2) END AS num_id, length(text) % 4 AS ilvl FROM labels),
+c AS (SELECT *, CASE WHEN num_id IS DISTINCT FROM lag(num_id) OVER (PARTITION BY doc_id ORDER BY idx) THEN 1 ELSE 0 END AS change FROM s),
+r AS (SELECT *, CAST(sum(change) OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS run FROM c),
+l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, run ORDER BY ilvl) - 1 AS level, row_number() OVER (PARTITION BY doc_id, run ORDER BY idx) AS place FROM r WHERE num_id IS NOT NULL)
+SELECT doc_id, idx, run, place, min(CASE WHEN place = 1 THEN 0 ELSE level END - place) OVER (PARTITION BY doc_id, run ORDER BY idx) + place AS depth,
+  bool_or(coalesce(kind IN ('numeric', 'roman', 'alpha', 'compound'), false)) OVER (PARTITION BY doc_id, run) AS ordered FROM l""")
+def list_items(spark, sf):
+    """List properties derived from the texts' lengths, since the derived corpus has none."""
+    n = F.length("text")
+    rows = legal_blocks(spark, sf).withColumn("num_id", F.when(n % 3 != 0, F.concat(F.lit("L"), (n % 2).cast("string")))).withColumn("ilvl", n % 4)
+    return statutes.lists(rows)
+
+
+@query(rf"""WITH legal AS ({LEGAL}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS rank FROM legal),
+g AS (SELECT doc_id, idx, trim({O.group('text', statutes.FIELD, 1)}) AS label, trim({O.group('text', statutes.FIELD, 2)}) AS value FROM f WHERE rank <= 40),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {O.fold('label')}, {O.fold('value')} ORDER BY idx) AS nth FROM g
+  WHERE label <> '' AND value <> '' AND ((regexp_matches(label, '\p{{Lu}}') AND NOT regexp_matches(label, '\p{{Ll}}') AND {O.n_words('label')} <= 4) OR {O.fold('label')} = 'ementa'))
+SELECT doc_id, idx, label, value FROM h WHERE nth = 1""")
+def front_fields(spark, sf):
+    return statutes.fields(legal_blocks(spark, sf), ("ementa",))
+
+
 # --- reports -------------------------------------------------------------------------------
 
 _DECISIONS = """SELECT event_id, event_type AS kind, user_id AS doc, CASE WHEN event_id % 3 = 0 THEN 'own' ELSE 'quoted' END AS rule_verdict, round((event_id % 100) / 100.0, 2)::DOUBLE AS rule_confidence,
