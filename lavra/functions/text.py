@@ -135,7 +135,7 @@ def genre(source: Column) -> Column:
 
 def truncated(x: Column, limit: int) -> Column:
     flat = F.trim(squeeze(x))
-    return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
 
 
 def cache_key(*parts: Column) -> Column:

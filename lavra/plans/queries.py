@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import articulation as statutes
-from ..operators import hierarchy, profiles, quotation, reports, routing, segmentation, segments
+from ..operators import hierarchy, profiles, quotation, rendering, reports, routing, segmentation, segments
 from ..sources import readers
 from . import oracle as O
 from .corpus import LEGAL, PLACED, legal_blocks, page_blocks
@@ -400,6 +400,37 @@ def front_fields(spark, sf):
     return statutes.fields(legal_blocks(spark, sf), ("ementa",))
 
 
+# --- rendering and warnings ----------------------------------------------------------------
+
+_XML = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""WITH legal AS ({LEGAL}), t AS (SELECT doc_id, idx, {_XML.format('text')} AS x FROM legal), i AS (SELECT *, CASE WHEN idx % 3 = 0 THEN '<i>' || x || '</i>' ELSE x END AS y FROM t)
+SELECT doc_id, idx, CASE WHEN idx % 2 = 0 THEN '<b>' || y || '</b>' ELSE y END || '<a xlink:href="#n' || idx || '"><sup>' || idx || '</sup></a>' AS xml FROM i""")
+def rendered_runs(spark, sf):
+    """Each block as a run that is bold or in italics by its place, and a raised note number with a link."""
+    no, i = F.lit(False), F.col("idx")
+
+    def run(text, bold, italic, sup, href):
+        return F.struct(text.alias("text"), bold.alias("bold"), italic.alias("italic"), sup.alias("sup"), no.alias("sub"), href.alias("href"))
+
+    runs = F.array(run(F.col("text"), i % 2 == 0, i % 3 == 0, no, F.lit(None).cast("string")), run(i.cast("string"), no, no, F.lit(True), F.concat(F.lit("#n"), i.cast("string"))))
+    return legal_blocks(spark, sf).select("doc_id", "idx", rendering.render_inlines(runs).alias("xml"))
+
+
+@query(f"""WITH {O.CENSUS}, k AS (SELECT doc_id, count(*) AS n FROM legal WHERE {_MARKER} GROUP BY doc_id),
+d AS (SELECT CASE WHEN route = 'norma' THEN p_norma ELSE round(1 - p_norma, 4) END AS confidence, k.n FROM routed LEFT JOIN k USING (doc_id)),
+c AS (SELECT CASE WHEN confidence < 0.6 THEN 'low_confidence' END AS code FROM d UNION ALL SELECT CASE WHEN n > 0 THEN 'annexes_not_written' END FROM d)
+SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY code""")
+def warning_counts(spark, sf):
+    """Warnings of a run that rendered every document as routed and wrote no annexes."""
+    annexes = segmentation.annexes(legal_blocks(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_annexes"))
+    docs = _routed(spark, sf).join(annexes, "doc_id", "left")
+    yes, nothing = F.lit(True), F.lit(None).cast("boolean")
+    codes = rendering.warnings(F.lit(1), yes, nothing, F.col("confidence"), F.col("route"), F.col("route"), F.col("n_annexes"), ~yes, yes)
+    return reports.ranked(docs.select(F.explode(codes).alias("code")), "code")
+
+
 # --- reports -------------------------------------------------------------------------------
 
 _DECISIONS = """SELECT event_id, event_type AS kind, user_id AS doc, CASE WHEN event_id % 3 = 0 THEN 'own' ELSE 'quoted' END AS rule_verdict, round((event_id % 100) / 100.0, 2)::DOUBLE AS rule_confidence,
