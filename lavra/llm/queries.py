@@ -20,7 +20,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, digested, each decoded and compared with the text."""
-    return pieces.encode(documents(spark, sf_dir), k=2, alpha=0.5, with_ids=False).drop("ids")
+    return pieces.encode(documents(spark, sf_dir), k=2, alpha=0.5, with_ids=False, layout=6 << 20).drop("ids")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
