@@ -11,6 +11,12 @@ the owner of the key can turn it back (``restore``). Separators, case and length
 One pass over whole texts without a shuffle; each row stands for itself. Where kinds claim
 overlapping stretches the earlier one in ``KINDS`` wins.
 
+IBANs and cards may run on into digits or words behind them ("4111 ... 1111 12/25"). Of such a
+stretch each reading that ends at a separator is tried, for an IBAN its country's length first,
+then from the longest down, then those from the next blank on. A pseudonym is walked on until
+it is read at the same place, so it comes back; two cards so close that one reading spans parts
+of both are found, but may not come back.
+
 Defined results: null text counts as empty; a text without findings is returned as it is;
 numbers that fail validation are left alone; repeated rows are treated alike; an empty
 table gives no rows; extra columns are ignored.
@@ -21,6 +27,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +44,12 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"),
     "card": re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){11,17}[0-9](?![0-9A-Za-z]|[.-][0-9])"),
 }
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 "
+    "RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+LONGEST = 70  # characters of the longest reading of an IBAN or a card, rounded up
 ROUNDS = 10
 FIRST_DAY, DAYS = dt.date(1800, 1, 1).toordinal(), dt.date(2200, 1, 1).toordinal() - dt.date(1800, 1, 1).toordinal()
 # Alphabets of single characters that stay within their kind.
@@ -125,20 +138,63 @@ def _iban_value(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in moved)) % 97
 
 
-def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False) -> str | None:
-    """The replacement of a match, or None where validation fails."""
+def _checks(kind: str, text: str) -> bool:
+    """Whether an IBAN's or a card's check digits hold."""
+    if kind == "iban":
+        flat = text.replace(" ", "")
+        return 15 <= len(flat) <= 34 and _iban_value(flat) == 1
+    digits = _digits(text)
+    return not _luhn(digits) and len(set(digits)) > 1
+
+
+def _read(kind: str, text: str, at: int, end: int, taken: list[tuple[int, int]]) -> re.Match | None:
+    """The first IBAN or card from ``at`` on that clears ``taken``."""
+    pattern = PATTERNS[kind]
+    while m := pattern.search(text, at, end):
+        lo, hi = m.span()
+        ends = [hi, *(i for i in range(hi - 1, lo, -1) if text[i] in " -")]
+        if kind == "iban":
+            size = IBAN_LENGTH.get(text[lo : lo + 2])
+            ends.sort(key=lambda i: len(text[lo:i].replace(" ", "")) != size)
+        for i in ends:
+            r = pattern.fullmatch(text, lo, i)
+            if r and _checks(kind, r[0]) and all(i <= a or b <= lo for a, b in taken):
+                return r
+        at = lo + 1
+    return None
+
+
+def _read_again(kind: str, text: str, at: int, lo: int, hi: int, taken: list[tuple[int, int]]):
+    """Tells whether a value put in place of ``text[lo:hi]`` is read there too, searching from ``at``."""
+    first, last = max(0, min(lo, max(at, lo - LONGEST)) - 1), min(len(text), hi + LONGEST)
+    start = max(at, lo - LONGEST) - first
+    near = [(a - first, b - first) for a, b in taken if a < last and b > first]
+
+    def fits(fresh: str) -> bool:
+        m = _read(kind, text[first:lo] + fresh + text[hi:last], start, last - first, near)
+        return m is not None and m.span() == (lo - first, hi - first)
+
+    return fits
+
+
+def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False, fits=lambda fresh: True) -> str | None:
+    """The replacement of a match, or None where validation fails; of an IBAN or a card one that ``fits`` its place."""
     text = m[0]
     if kind == "email":
         local = m[1]
         fresh = _mixed(f, "email", local, back)
         return fresh + text[len(local) :]
     if kind == "iban":
-        flat = text.replace(" ", "")
-        if not 15 <= len(flat) <= 34 or _iban_value(flat) != 1:
+        if not _checks(kind, text):
             return None
-        body = _mixed(f, "iban:" + flat[:2], flat[4:], back)
-        check = 98 - _iban_value(flat[:2] + "00" + body)
-        return _refill(text, flat[:2] + f"{check:02d}" + body, LETTERS[0] + LETTERS[2])
+        flat = text.replace(" ", "")
+        body = flat[4:]
+        while True:
+            body = _mixed(f, "iban:" + flat[:2], body, back)
+            check = 98 - _iban_value(flat[:2] + "00" + body)
+            fresh = _refill(text, flat[:2] + f"{check:02d}" + body, LETTERS[0] + LETTERS[2])
+            if fits(fresh):
+                return fresh
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
@@ -182,7 +238,7 @@ def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False) -> str | N
         return f"{rank + 1 + (rank >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
         return _refill(text, digits[:-10] + _number(f, "phone", digits[-10:], back))
-    if _luhn(digits) or len(set(digits)) == 1:
+    if not _checks(kind, text):
         return None
     n = 10 ** (len(digits) - 2)  # the first digit tells the network and the last one checks
     tweak, x = f"card:{digits[0]}:{len(digits)}", int(digits[1:-1])
@@ -190,21 +246,28 @@ def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False) -> str | N
         x = f.permute(tweak, x, n, back)
         body = digits[0] + str(x).zfill(len(digits) - 2)
         fresh = body + str((10 - _luhn(body + "0")) % 10)
-        if len(set(fresh)) > 1:
+        if len(set(fresh)) > 1 and fits(_refill(text, fresh)):
             return _refill(text, fresh)
 
 
-def find(text: str) -> list[tuple[int, int, str, re.Match]]:
-    """Candidates by place; of overlapping ones the earlier kind's. Validation comes later, per kind."""
-    out: list[tuple[int, int, str, re.Match]] = []
+def find(text: str) -> list[tuple[int, int, str, re.Match, Callable[[str], bool]]]:
+    """What is found, by place, and what tells whether a value fits there; of overlapping ones the earlier kind's."""
+    out: list[tuple[int, int, str, re.Match, Callable[[str], bool]]] = []
     probe = Feistel(b"")
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
+        if kind in ("iban", "card"):
+            at, taken = 0, [x[:2] for x in out]
+            while m := _read(kind, text, at, len(text), taken):
+                lo, hi = m.span()
+                out.append((lo, hi, kind, m, _read_again(kind, text, at, lo, hi, taken)))
+                at = hi
+            continue
         for m in PATTERNS[kind].finditer(text):
             lo, hi = m.span()
-            if all(hi <= a or b <= lo for a, b, _, _ in out) and pseudonym(probe, kind, m) is not None:
-                out.append((lo, hi, kind, m))
+            if all(hi <= x[0] or x[1] <= lo for x in out) and pseudonym(probe, kind, m) is not None:
+                out.append((lo, hi, kind, m, lambda fresh: True))
     return sorted(out, key=lambda x: x[:2])
 
 
@@ -215,8 +278,8 @@ def pseudonymize(text: str, f: Feistel, back: bool = False) -> tuple[str, list[t
     if not ANY_DIGIT.search(text):
         return text, []
     parts, at, spans = [], 0, []
-    for lo, hi, kind, m in find(text):
-        parts += [text[at:lo], pseudonym(f, kind, m, back)]
+    for lo, hi, kind, m, fits in find(text):
+        parts += [text[at:lo], pseudonym(f, kind, m, back, fits)]
         spans.append((lo, hi, kind))
         at = hi
     return "".join(parts) + text[at:], spans
