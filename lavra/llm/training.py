@@ -14,9 +14,10 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, classes: int = 16) -> DataFrame:
     """doc_id, text, y of at most ``per_class`` training rows of each label value, by a hash of the id.
 
+    With more than ``classes`` values all of them stay, and ``classes * per_class`` is shared out among them.
     Only the ids of the sample, a bounded number, are broadcast; texts aren't shuffled.
     A row labelled more than once counts with its largest label; null labels don't count.
     """
@@ -25,11 +26,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    values = [r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(16).collect()]
+    values = [r["y"] for r in rows.select("y").distinct().collect()]
+    share = per_class if len(values) <= classes else max(1, classes * per_class // len(values))
     picked = None
     for y in sorted(values):
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share)
         picked = part if picked is None else picked.union(part)
     if picked is None:
         return id_text(docs.limit(0)).withColumn("y", F.lit(0))
-    return id_text(docs).join(F.broadcast(picked), "doc_id")  # at most 16 * per_class ids
+    return id_text(docs).join(F.broadcast(picked), "doc_id")  # at most classes * per_class ids, or one of each value

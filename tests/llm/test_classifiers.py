@@ -75,3 +75,10 @@ def test_training_never_sees_held_out_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r["doc_id"] for r in toxicity.labelled_sample(docs, spark.read.parquet(f"{sf}/labels.parquet"), "toxic", 10_000).collect()}
     assert ids and not any(map(held_out, ids))
+
+
+def test_every_grade_enters_the_sample(spark):
+    rows = [(i, f"text {i}", i % 21) for i in range(2000) if i % 21 not in (0, 20) or i < 400]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.labelled_sample(docs, docs, "quality", 21).groupBy("y").count().collect()
+    assert {r["y"] for r in got} == set(range(21)) and max(r["count"] for r in got) <= 16
