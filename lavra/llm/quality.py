@@ -6,15 +6,16 @@ r"""Quality classifier: ordinal cumulative-link regression on graded ratings.
 follow themselves, with or without a mark between), in ``2**bits`` buckets. The expected grade and the tail probability ``P(grade >= good)`` select documents.
 Two grades make it logistic regression; any number of integer grades works alike.
 
-Training is on at most ``per_class`` labelled documents of each grade, none of them held out
+Training is on at most ``per_class`` labelled documents, ``sample_mb`` of text, of each grade, none of them held out
 (``crc32(doc_id as text) mod 3 = 1``); profiles are made on the executors and the driver
 receives bucket numbers and counts. Thresholds stay ordered by construction: each is the one
 before plus an exponential. Scoring covers every document and whole texts in one pass
 without a shuffle; the weights, of a fixed size, are broadcast.
 
 Defined results: null and empty texts have no tokens and score 0; without labels of two
-grades everything is kept, with null grade and probability; repeated rows score alike; an
-empty table gives no rows; extra columns are ignored.
+grades everything is kept, with null grade and probability; a document labelled twice counts with its
+largest grade; a tail probability of exactly ``at_least`` is kept; repeated rows score alike; very long
+texts are scored whole, one at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,9 +167,9 @@ def score(docs: DataFrame, model: Model | None, good: int | None = None, id_col:
     return texts.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
 
 
-def select(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, good: int | None = None, at_least: float = 0.5, text_col: str = "text") -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, good: int | None = None, at_least: float = 0.5, text_col: str = "text", sample_mb: float = 32.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose tail probability is ``at_least``; rows stay where they are."""
-    model = train(labelled_sample(docs, labels, "quality", per_class))
+    model = train(labelled_sample(docs, labels, "quality", per_class, sample_mb=sample_mb))
     if model is None:
         return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), _place(model, good)
@@ -183,9 +184,9 @@ def select(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, good: int
     return docs.where(tail(F.col(text_col)) >= at_least)
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, good: int | None = None, at_least: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, good: int | None = None, at_least: float = 0.5, sample_mb: float = 32.0) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability, keep, one row per input row."""
-    model = train(labelled_sample(docs, labels, "quality", per_class))
+    model = train(labelled_sample(docs, labels, "quality", per_class, sample_mb=sample_mb))
     return score(docs, model, good).select(
         "doc_id",
         F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"),

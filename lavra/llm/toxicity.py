@@ -5,9 +5,10 @@ Only documents carry labels, yet toxicity sits in sentences. A sentence has the
 itself plus those of its beginnings (offensive stems come with many endings). Weights aren't
 negative: harmless words, however many, don't make up for an offensive one. A document is toxic if any sentence is:
 ``P = 1 - prod(1 - p)`` (noisy-or). Weights are trained on document labels through the
-noisy-or, after which the sentence scores locate what offends.
+noisy-or, after which the sentence scores locate what offends: the sentences of 0.5 or more and, of a
+document of 0.5 or more, the fewest that hold half of its noisy-or mass.
 
-Training is on at most ``per_class`` labelled documents of each class whose
+Training is on at most ``per_class`` labelled documents, ``sample_mb`` of text, of each class whose
 ``crc32(doc_id as text) mod 3`` isn't 1 (whole texts, tokenised on the executors; the driver
 receives the distinct words of sentences). Features of fewer than ``min_docs`` sampled documents
 have no weight. Scoring covers every document and whole texts, in one pass without a shuffle; the
@@ -15,7 +16,8 @@ model, of bounded size as its sample is, is broadcast.
 
 Defined results: null and empty texts have no sentences and score 0; without labels of both
 classes every score is 0; repeated rows score alike; a document labelled twice counts
-with its largest label; an empty table gives no rows; extra columns are ignored.
+with its largest label; sentences of equal weight are located in order; very long texts are scored whole,
+one at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,8 +137,26 @@ def noisy_or(logits: list[float]) -> float:
     return -math.expm1(-total)
 
 
+def located(logits: list[float]) -> list[int]:
+    """The sentences that make a document offend: those of 0.5 or more, and of a document of 0.5 or more
+    the fewest, largest first and earlier ones of equals first, that hold half of its mass ``-log(1 - score)``.
+
+    So many faint sentences that add up are named too, and no positive document is left without any.
+    """
+    mass = [max(z, 0.0) + math.log1p(math.exp(-abs(z))) for z in logits]
+    total, held = sum(mass), 0.0
+    out = {i for i, z in enumerate(logits) if z >= 0}
+    if total >= math.log(2):
+        for i in sorted(range(len(mass)), key=lambda i: -mass[i]):
+            if held >= total / 2:
+                break
+            held += mass[i]
+            out.add(i)
+    return sorted(out)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_sentences, offending (0-based numbers of sentences of 0.5 or more)."""
+    """doc_id, score, n_sentences, offending (0-based numbers of the sentences located, ascending)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -148,7 +168,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     b.column(0),
                     pa.array([noisy_or(z) if bias > -math.inf else 0.0 for z in out], pa.float64()),
                     pa.array([len(z) for z in out], pa.int64()),
-                    pa.array([[i for i, x in enumerate(z) if x >= 0] for z in out], pa.list_(pa.int64())),
+                    pa.array([located(z) for z in out], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "score", "n_sentences", "offending"],
             )
@@ -156,9 +176,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<long>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, sample_mb: float = 32.0) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, offending, one row per input row."""
-    model = train(labelled_sample(docs, labels, "toxic", per_class))
+    model = train(labelled_sample(docs, labels, "toxic", per_class, sample_mb=sample_mb))
     return score(docs, model).select(
         "doc_id",
         F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"),
