@@ -9,8 +9,9 @@ all strings, so strings within few edits get embeddings that agree in many place
 sample a few places of the embedding each; windows that fall into an item's cell in any table
 are candidates. How many embeddings are drawn is calibrated for each item length: edits
 of the largest allowed number are simulated on random strings of that length, and embeddings
-are added until the share found reaches ``recall``. Every candidate is verified by the exact
-edit distance.
+are added until the share found reaches ``recall``; where ``MOST`` of them don't reach it, every window
+that survives the bound below is a candidate. Every candidate is verified by the exact edit distance.
+Items of fewer than ``min_words`` words are too short to allow for edits and match word for word.
 
 Windows are only embedded where they can match at all: an edit changes at most two pairs of
 neighbouring words, so a stretch within e edits of an item keeps L - 1 - 2e of its pairs, and a
@@ -21,10 +22,10 @@ Scale: one pass over whole texts, no shuffle; a row's result is its own. The ite
 blocks of at most ``block_mb`` of text, checked; a larger benchmark takes several blocks, each
 its own pass.
 
-Defined results: null text counts as empty; items with fewer than ``min_words`` words, null
-ones too, are not looked for; repeated rows and items are treated alike; of several items the
-list is sorted by item_id; empty tables give no rows, or none contaminated; extra columns are
-ignored.
+Defined results: null text counts as empty; items without words, null ones too, are not looked for;
+repeated rows and items are treated alike; of several items the list is sorted by item_id, of windows
+that tie the similarity is the same; very long texts are read whole; empty tables give no rows, or none
+contaminated; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,8 +94,8 @@ def steps_for(length: int) -> int:
     return max(SAMPLED + 1, math.ceil(1.5 * length))
 
 
-def calibrated(length: int, edits: int, recall: float, trials: int = 256) -> int:
-    """Embeddings needed so that strings ``edits`` apart share a cell with probability ``recall``."""
+def calibrated(length: int, edits: int, recall: float, trials: int = 256) -> int | None:
+    """Embeddings needed so that strings ``edits`` apart share a cell with probability ``recall``; None if MOST don't do."""
     rng = np.random.default_rng(length * 1009 + edits)
     a = rng.integers(1, 1 << 30, (trials, length + edits))
     b = np.zeros((trials, length), np.int64)
@@ -116,7 +117,7 @@ def calibrated(length: int, edits: int, recall: float, trials: int = 256) -> int
         found |= (ca == cb).any(1)
         if found.mean() >= recall:
             return seed + 1
-    return MOST
+    return None
 
 
 def edit_distances(region: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -139,10 +140,14 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Index:
     """The items of one block, by length: vocabulary, embeddings to draw and the cells of the items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, recall: float):
+    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, recall: float, min_words: int = 8):
         self.number: dict[str, int] = {}
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, ws in items:
+            if len(ws) < min_words:
+                self.short[len(ws)][tuple(self.number.setdefault(w, number_of(w)) for w in ws)].append(item_id)
+                continue
             by[len(ws)].append((item_id, np.array([self.number.setdefault(w, number_of(w)) for w in ws])))
         each = [(length, np.unique(_pair(x[:-1], x[1:]))) for length, g in sorted(by.items()) for _, x in g]
         self.sizes = np.array([length for length, _ in each], np.int64)  # of the items, numbered in this order
@@ -152,21 +157,22 @@ class Index:
         self.holders = np.repeat(np.arange(len(each)), [len(p) for _, p in each])[order]  # items of each pair, from ``bounds``
         self.bounds = np.append(first, len(found))
         self.needed = self.sizes - 1 - 2 * np.floor((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
+        self.short = {n: dict(x) for n, x in self.short.items()}
         self.lengths = []
         for length, group in sorted(by.items()):
             edits = math.floor((1 - similarity) * length + 1e-9)
             strings = np.stack([x for _, x in group])
-            tables = []
-            for seed in range(calibrated(length, edits, recall)):
+            tables, needed = [], calibrated(length, edits, recall)
+            for seed in range(needed or 0):
                 keys = cells(embed(strings, seed, steps_for(length)), seed).ravel()
                 order = np.argsort(keys, kind="stable")
                 tables.append((keys[order], order // TABLES))
-            self.lengths.append((length, edits, group, tables))
-        self.longest = max((x[0] + x[1] for x in self.lengths), default=0)
+            self.lengths.append((length, edits, group, tables if needed else None))
+        self.longest = max([*(x[0] + x[1] for x in self.lengths), *self.short], default=0)
 
     def matches(self, stream: np.ndarray) -> list[tuple[int, int, float]]:
         """(start, item_id, similarity) of the verified windows in a stream of word numbers."""
-        out = []
+        out = self._word_for_word(stream)
         if len(stream) < 2 or not len(self.pairs):
             return out
         starts_of = self._starts(stream)
@@ -178,6 +184,17 @@ class Index:
                 out += self._verified(stream, starts[lo : lo + (1 << 14)], length, edits, group, tables)
         return out
 
+    def _word_for_word(self, stream: np.ndarray) -> list[tuple[int, int, float]]:
+        out = []
+        for n, items in self.short.items():
+            if len(stream) < n:
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(stream, n)
+            firsts = np.unique(np.array([k[0] for k in items]))
+            for i in np.flatnonzero(np.isin(windows[:, 0], firsts) & (windows > 0).all(1)).tolist():
+                out += [(i, item_id, 1.0) for item_id in items.get(tuple(windows[i].tolist()), ())]
+        return out
+
     def _starts(self, stream: np.ndarray):
         """A function of the length: sorted starts of the windows that keep enough pairs of one item of that length."""
         both = np.flatnonzero((stream[:-1] > 0) & (stream[1:] > 0))
@@ -221,8 +238,8 @@ class Index:
         with np.errstate(over="ignore"):
             _, first, same = np.unique((_mix(regions.astype(np.uint64)) * odd).sum(1), return_index=True, return_inverse=True)
         regions = regions[first]
-        pairs = set()
-        for seed, (keys, owner) in enumerate(tables):
+        pairs = set() if tables is not None else {(o, i) for o in range(len(group)) for i in range(len(regions))}
+        for seed, (keys, owner) in enumerate(tables or ()):
             own = cells(embed(regions[:, :length], seed, steps_for(length)), seed)
             lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             for i, t in zip(*np.nonzero(hi > lo), strict=True):
@@ -241,13 +258,13 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_words: int, block_mb: float):
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_mb: float):
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(size / (block_mb * 1e6)))
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()  # about block_mb
-        yield [(r["item_id"], w) for r in rows if len(w := words(r["text"])) >= min_words]
+        yield [(r["item_id"], w) for r in rows if (w := words(r["text"]))]
 
 
 def contamination(
@@ -264,8 +281,8 @@ def contamination(
     context = docs.sparkSession.sparkContext
     rows = id_text(docs, id_col, text_col)
     found = F.lit(None).cast("array<struct<item_id:long,similarity:double>>")
-    for items in _blocks(benchmark, "item_id", "text", min_words, block_mb):
-        hits = _hits(context.broadcast(Index(items, similarity, recall)))
+    for items in _blocks(benchmark, "item_id", "text", block_mb):
+        hits = _hits(context.broadcast(Index(items, similarity, recall, min_words)))
         found = F.concat(F.coalesce(found, F.array().cast("array<struct<item_id:long,similarity:double>>")), hits(F.col("text")))
     rows = rows.select("doc_id", found.alias("found"))
     return rows.select(
@@ -279,8 +296,8 @@ def contamination(
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, min_words: int = 8, block_mb: float = 4.0, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates; rows stay where they are."""
     context = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, "item_id", "text", min_words, block_mb):
-        docs = docs.where(F.size(_hits(context.broadcast(Index(items, similarity, recall)))(F.coalesce(F.col(text_col), F.lit("")))) == 0)
+    for items in _blocks(benchmark, "item_id", "text", block_mb):
+        docs = docs.where(F.size(_hits(context.broadcast(Index(items, similarity, recall, min_words)))(F.coalesce(F.col(text_col), F.lit("")))) == 0)
     return docs
 
 
