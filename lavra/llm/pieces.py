@@ -23,7 +23,8 @@ for which Zipf's law is used: ``-log(rank + 1)``, normalised over the vocabulary
 
 Defined results: null text counts as empty; an empty text has one segmentation, without pieces;
 a text with fewer than k segmentations has rows for those alone, with inclusion 1 once all
-are drawn; rows that repeat draw alike; an empty table gives no rows; extra columns are ignored.
+are drawn; regions that tie are opened in the order their paths were drawn; rows that repeat, or share a doc_id and
+text, draw alike, and rows without a doc_id draw as id 0; very long texts are one lattice of their distinct words; an empty table gives no rows; extra columns are ignored.
 Decoding the ids gives the text back, byte by byte (a literal U+2581 travels as byte pieces).
 """
 
@@ -101,6 +102,15 @@ class Vocabulary:
                 self.step[node, c] = nxt
         self.piece, self.lp = np.array(last, np.int32), np.array(chance)
         self.deepest = max(map(len, self.bytes))
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.width = np.array([len(x) for x in self.bytes], np.int64)
+        self.offset = np.cumsum(self.width) - self.width
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a sequence of ids, side by side."""
+        size = self.width[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.offset[ids] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; the space put before every text goes."""
@@ -259,25 +269,41 @@ def sample_batch(voc: Vocabulary, keys: list[int], texts: list[str], k: int, alp
         log_p, log_rest = np.log(lat.p), np.log1p(-np.minimum(lat.p, 1.0))
         word_of = np.repeat(np.arange(len(codes)), per_word)
         ends = np.cumsum(per_word)
-        out = []
-        for d in range(len(texts)):
+        drawn: list[list[_Sample]] = []
+        rngs, kappas = [_Rng(int(x)) for x in row_key], [-math.inf] * len(texts)
+        single: list[float] = []  # the gumbel of each document's first sample
+        for d, rng in enumerate(rngs):
             lo, hi = int(first[d]), int(first[d] + sizes[d])
             a, b = (int(ends[lo - 1]) if lo else 0), (int(ends[hi - 1]) if hi else 0)
-            rng = _Rng(int(row_key[d]))
-            g = -math.log(-math.log(rng.uniform()))
-            own = [_draw(lat, log_p, log_rest, arcs[a:b], word_of[a:b], 0, (), g, rng)] if hi > lo else []
-            if not own:
-                out.append([(np.zeros(0, np.int64), 0.0, g, 1.0)])
-                continue
-            while True:
-                best = max(range(len(own)), key=lambda i: own[i].bounds.max(initial=-np.inf))
-                s = own[best]
+            single.append(-math.log(-math.log(rng.uniform())))
+            drawn.append([_draw(lat, log_p, log_rest, arcs[a:b], word_of[a:b], 0, (), single[d], rng)] if hi > lo else [])
+        for rank in range(1, k + 1):  # one region of every document is opened a round, all their paths at once
+            opened = []
+            for d, own in enumerate(drawn):
+                if len(own) < rank:
+                    continue
+                s = max(own, key=lambda x: x.bounds.max(initial=-np.inf))
                 t = int(s.bounds.argmax()) if len(s.bounds) else 0
-                kappa = float(s.bounds[t]) if len(s.bounds) else -math.inf
-                if len(own) == k or kappa == -math.inf:
-                    break
-                own.append(_open(lat, log_p, log_rest, s, t, kappa, codes, word_key, hi, len(own), rng))
-            out.append([(x.arcs, x.total, x.gumbel, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(50.0, x.total - kappa)))) for x in own])
+                kappas[d] = float(s.bounds[t]) if len(s.bounds) else -math.inf
+                if rank < k and kappas[d] > -math.inf:
+                    opened.append((d, s, t, *_leave(lat, s, t, rngs[d])))
+            if not opened:
+                break
+            spans = [np.arange(int(s.word[t]), int(first[d] + sizes[d])) for d, s, t, *_ in opened]
+            idx, size = np.concatenate(spans), np.array([len(x) for x in spans])
+            at, head = lat.start[codes[idx]], np.cumsum(size) - size
+            at[head] = [int(lat.origin[arc]) + int(lat.size[arc]) for *_, arc in opened]
+            tail, per = _path(lat, at, lat.end[codes[idx]], _mix(word_key[idx] + np.uint64(rank * 0x9E3779B97F4A7C15 & (2**64 - 1))))
+            stop = np.cumsum(per)
+            for (d, s, t, barred, arc), lo, n in zip(opened, head.tolist(), size.tolist(), strict=True):
+                a = int(stop[lo - 1]) if lo else 0
+                path = np.concatenate([s.arcs[:t], [arc], tail[a : int(stop[lo + n - 1])]])
+                word = np.concatenate([s.word[: t + 1], np.repeat(idx[lo : lo + n], per[lo : lo + n])])
+                drawn[d].append(_draw(lat, log_p, log_rest, path, word, t, barred, kappas[d], rngs[d]))
+    out = []
+    for own, kappa, g in zip(drawn, kappas, single, strict=True):
+        scored = [(x.arcs, x.total, x.gumbel, 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(50.0, x.total - kappa)))) for x in own]
+        out.append(scored or [(np.zeros(0, np.int64), 0.0, g, 1.0)])
     return lat, out
 
 
@@ -310,22 +336,14 @@ def _draw(lat, log_p, log_rest, arcs, word, t, barred, gumbel, rng) -> _Sample:
     return s
 
 
-def _open(lat, log_p, log_rest, s: _Sample, t: int, bound: float, codes, word_key, hi: int, rank: int, rng) -> _Sample:
-    """Samples a path inside the region that leaves ``s`` at place t."""
+def _leave(lat, s: _Sample, t: int, rng) -> tuple[tuple, int]:
+    """How the region that leaves ``s`` at place t is opened: the arcs barred there, and the arc taken."""
     barred = s.barred_at.get(t, (int(s.arcs[t]),))
     s.bounds[t] = -np.inf  # what is left of the region belongs to the new path
     node = int(lat.origin[s.arcs[t]])
     choice = [a for a in range(int(lat.first[node]), int(lat.first[node]) + int(lat.count[node])) if a not in barred]
     weight = np.cumsum(lat.p[choice])
-    arc = choice[min(len(choice) - 1, int(np.searchsorted(weight, rng.uniform() * weight[-1], "right")))]
-    w = int(s.word[t])
-    at = np.append(node + int(lat.size[arc]), lat.start[codes[w + 1 : hi]])
-    end = lat.end[codes[w:hi]]
-    key = _mix(word_key[w:hi] + np.uint64(rank * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    tail, per_word = _path(lat, at, end, key)
-    arcs = np.concatenate([s.arcs[:t], [arc], tail])
-    word = np.concatenate([s.word[: t + 1], np.repeat(np.arange(w, hi), per_word)])
-    return _draw(lat, log_p, log_rest, arcs, word, t, barred, bound, rng)
+    return barred, choice[min(len(choice) - 1, int(np.searchsorted(weight, rng.uniform() * weight[-1], "right")))]
 
 
 def to_ids(voc: Vocabulary, lat: Lattice, arcs: np.ndarray) -> np.ndarray:
@@ -373,27 +391,27 @@ def _encoded(voc, docs, texts, k, alpha, seed, with_ids) -> pa.RecordBatch:
     lat, found = sample_batch(voc, keys, texts, k, alpha, seed)
     cols: list[list] = [[] for _ in range(9)]
     for doc, text, samples in zip(docs, texts, found, strict=True):
-        data = text.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         for rank, (arcs, total, gumbel, inclusion) in enumerate(samples):
             ids = to_ids(voc, lat, arcs).astype(np.int32)
-            back = b"".join(map(voc.bytes.__getitem__, ids.tolist()))
+            back = voc.spelled(ids)
             digest = xxhash.xxh64_intdigest(ids.astype("<i4").tobytes())
-            row = (doc, rank, len(ids), total, gumbel, inclusion, digest - (1 << 64) * (digest >> 63), back[1:] == data, ids if with_ids else None)
+            row = (doc, rank, len(ids), total, gumbel, inclusion, digest - (1 << 64) * (digest >> 63), np.array_equal(back[1:], data), ids if with_ids else None)
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def decode(rows: DataFrame, ids_col: str = "ids", model_file: str = MODEL) -> DataFrame:
-    """The rows with a column ``decoded``, the text of their ids (null for null ids)."""
-    names = [c for c in rows.columns if c != "decoded"]
+def decode(rows: DataFrame, ids_col: str = "ids", model_file: str = MODEL, to: str = "decoded") -> DataFrame:
+    """The rows with a column ``to``, the text of their ids (null for null ids); a column of that name is an error."""
+    if to in rows.columns:
+        raise ValueError(f"the rows have a column {to!r} already; name another one")
 
     def run(batches):
         voc = vocabulary(model_file)
         for b in batches:
             texts = [None if x is None else voc.decode(x) for x in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
 
-    kept = rows.select(*names)
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(to, StringType())]))
