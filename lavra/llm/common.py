@@ -5,47 +5,88 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT = 1_000  # a value that holds one row of so many is hot; there can't be more of them than this
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (a local test session) is a folder of this
-    machine used, and it is then set as the checkpoint folder too.
+    Only in a local session without the setting (as in tests) is a folder of this machine used,
+    and it is then set as the checkpoint folder too; on a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             found = tempfile.mkdtemp(prefix="lavra-checkpoint-")
             spark.sparkContext.setCheckpointDir(found)
         path = found
     return path.rstrip("/")
 
 
+_written: list[str] = []  # tables of this process that still exist
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
-    Cuts the lineage; the files outlive any executor.
+    Cuts the lineage; the files outlive any executor. They go by :func:`drop` or :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._lavra_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_lavra_path", None)
+        if path in _written:
+            _delete(t.sparkSession, path)
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the identifier and the text, null text as the empty one.
+def release(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete every table this process has materialized but ``keep``; results read from them must be stored by then."""
+    kept = {getattr(t, "_lavra_path", None) for t in keep}
+    for path in [p for p in _written if p not in kept]:
+        _delete(spark, path)
+
+
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """Only the identifier and the text, null text as the empty one, and the columns named in ``more``.
 
     Dropping all other columns first makes any extra or clashing name harmless.
     """
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more
     )
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of hash over all columns, so that a decision names a row, not an id that others may share.
+
+    Rows with one key are equal in every column, so which of them stays makes no difference.
+    """
+    cols = [c for name in docs.columns for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(salt), *cols)), 16, "0") for salt in (1, 2)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -22,8 +22,8 @@ at most 2**16 distinct fingerprints by construction. Components are found on edg
 joins. Nothing that grows with the corpus reaches the driver.
 
 Defined results: null text counts as empty, fingerprint zero, linked like any other;
-repeated rows are one document; ties can't arise; an empty table gives no rows; extra columns
-are ignored.
+repeated rows are one document; a bit set in just half the hashes is 0; very long texts are
+fingerprinted whole, in pieces; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import id_text, materialize
+from .common import HOT, drop, id_text, materialize
 from .components import components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
@@ -60,15 +61,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the columns in ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    texts = id_text(docs, id_col, text_col, *keep)
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *(texts.schema[c] for c in keep)])
+    return texts.mapInArrow(run, schema)
 
 
 def correlations(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -242,16 +245,17 @@ def links(distinct: DataFrame, tau: int = DISTANCE, bucket_max: int = 20_000, le
     rows = distinct.select(F.lit(0).cast("long").alias("bucket"), "fp")
     found = []
     for level in range(levels):
-        filed = _file(rows, parts)
-        if level == levels - 1:
-            found.append(_compare(filed, tau))
-            break
+        filed = materialize(_file(rows, parts), "filed-fingerprints")
+        if level:
+            drop(rows)
         big = materialize(filed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_max).select("bucket"), "large-buckets")
-        if big.isEmpty():
-            found.append(_compare(filed, tau))
+        last = level == levels - 1 or big.isEmpty()
+        found.append(materialize(_compare(filed if last else filed.join(big, "bucket", "left_anti"), tau), "links"))
+        if last:
+            drop(filed, big)
             break
-        found.append(_compare(filed.join(big, "bucket", "left_anti"), tau))
         rows = materialize(filed.join(big, "bucket", "left_semi").distinct(), "refiled")
+        drop(filed, big)
         # Within a bucket the principle holds anew for any parts: deal the bits round, so that
         # those the keys so far have fixed are spread over all parts and each level fixes a
         # quarter of what is left (16 bits, so 2**16 fingerprints, after five levels).
@@ -295,13 +299,21 @@ def _compare(filed: DataFrame, tau: int) -> DataFrame:
     return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id, one row per input row."""
-    fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = DISTANCE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id, one row per input row; with ``keep`` also those columns and ``first``.
+
+    ``first`` marks the one row that stays of each component: that of the smallest doc_id (null last), then of the
+    smallest columns in ``keep``; rows equal in all of these are marked alike.
+    """
+    fps = materialize(fingerprints(docs, id_col, text_col, keep), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
+    distinct = materialize(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min(rank).alias("least")), "distinct-fingerprints")
     roots = components(links(distinct, tau))
-    ids = distinct.select(F.col("fp"), "first_id")
-    placed = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = placed.groupBy("root").agg(F.min("least").alias("stays"))
+    classes = materialize(placed.select("fp", "root", "n").join(least, "root").select("fp", "n", "stays"), "fingerprint-classes")
+    many = max(HOT, fps.count() / HOT)
+    hot = F.broadcast(classes.where(F.col("n") >= many))  # fingerprints of a thousandth of all rows: HOT at most
+    rows = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(classes.where(F.col("n") < many), "fp"))
+    first = [*keep, (F.col("stays") == rank).alias("first")] if keep else []
+    return rows.select("doc_id", "fp", F.col("stays.doc_id").alias("component_id"), *first)
