@@ -110,7 +110,7 @@ def is_citation(text: Column) -> Column:
 
 
 def article_number(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(stripped(text), ARTICLE, 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(stripped(text), ARTICLE, 1), F.lit("")).try_cast("int")
 
 
 def parse_label(text: Column, unit_heads: Column | None = None) -> Column:
@@ -139,7 +139,7 @@ def _division(body: Column, folded: Column, quoted: Column) -> Column:
             F.regexp_replace(word, "[.\\-–—]+$", ""),
             lambda bare: F.when(tail.rlike("(?iu)^[úu]nic[oa]"), _made(division, one, after, quoted))
             .when(bare.rlike("(?i)^[ivxlcdm]+$") & roman(bare).isNotNull(), _made(division, F.array(roman(bare)), after, quoted))
-            .when(bare.rlike("^[0-9]+$"), _made(division, F.array(bare.cast("int")), after, quoted))
+            .when(bare.rlike("^[0-9]+$"), _made(division, F.array(bare.try_cast("int")), after, quoted))
             .when(tail.rlike(r"^\p{Lu}"), _made(division, one, stripped(tail), quoted)),
         )
 
@@ -154,7 +154,7 @@ def _numeric(body: Column, quoted: Column, pattern: str, only: bool) -> Column:
         rest = F.lit("") if only else stripped(F.regexp_replace(body, pattern, ""))
         valid = digits.rlike(r"^[1-9][0-9]*(\.[1-9][0-9]*)*$") & ~digits.rlike(GROUPED)
         loose = F.lit(False) if only else separator.isNull() & (F.size(parts) == 1) & ~looks_like_heading(rest)
-        return F.when(valid & ~loose, _made("numeric", parts.cast("array<int>"), rest, quoted, separator))
+        return F.when(valid & ~loose, _made("numeric", parts.try_cast("array<int>"), rest, quoted, separator))
 
     return let(F.regexp_extract(body, pattern, 1), made)
 
@@ -164,7 +164,7 @@ def _label(body: Column, quoted: Column, unit_heads: Column | None) -> Column:
         return F.regexp_extract(body, pattern, i)
 
     def number(pattern, i):
-        return F.array(group(pattern, i).cast("int"))
+        return F.array(group(pattern, i).try_cast("int"))
 
     def rest_of(pattern):
         return stripped(F.regexp_replace(body, pattern, ""))
@@ -189,7 +189,7 @@ def _label(body: Column, quoted: Column, unit_heads: Column | None) -> Column:
         unit = F.when(body.rlike(UNIT) & F.array_contains(unit_heads, head), _made("unit", number(UNIT, 2), F.lit(""), quoted, None, head))
     series = (
         F.when(is_citation(body) | body.rlike(DATE_LIKE) | body.rlike(YEAR_SUFFIX), None)
-        .when(body.rlike(COMPOUND), _made("compound", F.array(letter(COMPOUND), group(COMPOUND, 2).cast("int")), rest_of(COMPOUND), quoted, group(COMPOUND, 3)))
+        .when(body.rlike(COMPOUND), _made("compound", F.array(letter(COMPOUND), group(COMPOUND, 2).try_cast("int")), rest_of(COMPOUND), quoted, group(COMPOUND, 3)))
         .when(body.rlike(NUMERIC_ONLY), _numeric(body, quoted, NUMERIC_ONLY, True))
         .when(body.rlike(NUMERIC), _numeric(body, quoted, NUMERIC, False))
         .when(body.rlike(ROMAN) & roman(group(ROMAN, 1)).isNotNull(), plain("roman", ROMAN, F.array(roman(group(ROMAN, 1)))))
@@ -203,7 +203,7 @@ def _label(body: Column, quoted: Column, unit_heads: Column | None) -> Column:
 
 
 def style_level(style: Column, outline: Column) -> Column:
-    n = F.nullif(F.regexp_extract(fold(style), r"^(heading|titulo|header)\s*([0-9]+)", 2), F.lit("")).cast("int")
+    n = F.nullif(F.regexp_extract(fold(style), r"^(heading|titulo|header)\s*([0-9]+)", 2), F.lit("")).try_cast("int")
     return F.coalesce(outline, n - 1)
 
 

@@ -1,8 +1,8 @@
 """Text functions as columns: folding, slugs, numbers, dates and names of documents.
 
-Everything here is a Catalyst expression, so it stays inside code generation and is pushed
-with the projection it sits in. ``fold_exact`` is the one Arrow function, for text beyond the
-Latin and punctuation blocks.
+Everything here is a Catalyst expression, pushed with the projection it sits in; what stands in a
+lambda (``let``, and so most of the label grammar) is interpreted rather than compiled. ``fold_exact`` is
+the one Arrow function, for text beyond the Latin and punctuation blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ FOLD_ONE = "".join(c for c, t in _FOLDED.items() if len(t) == 1)
 FOLD_ONE_TO = "".join(_FOLDED[c] for c in FOLD_ONE)
 FOLD_MANY = {c: t for c, t in _FOLDED.items() if len(t) > 1}
 
+USUAL = "…ªº½¼¾ĳŉǆǉǌǳ"  # of those that fold to several letters, the ones ``fold`` knows
+BEYOND = r"[^\x{0}-\x{24F}\x{2000}-\x{206F}]|[" + "".join(c for c in FOLD_MANY if c not in USUAL) + "]"
+
 # Words a slug leaves out, month names, the URN grammar.
 SLUG_STOP = ("da", "de", "do", "das", "dos", "e", "a", "o", "as", "os", "em", "no", "na")
 MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
@@ -37,10 +40,16 @@ def let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def fold_any(x: Column) -> Column:
+    """NFKD, ASCII only, lower case, for any text: columns where they cover it, one Arrow function for the other rows."""
+    covered = F.coalesce(~x.rlike(BEYOND), F.lit(True))
+    return F.when(covered, fold(x)).otherwise(fold_exact(F.when(~covered, x)))
+
+
 def fold(x: Column) -> Column:
-    """NFKD, ASCII only, lower case."""
+    """NFKD, ASCII only, lower case, of ASCII, Latin letters and general punctuation; ``fold_any`` takes any text."""
     for c, t in FOLD_MANY.items():
-        if c in "…ªº½¼¾ĳŉǆǉǌǳ":  # of the rest only the usual ones; others drop to nothing below
+        if c in USUAL:  # of the rest only the usual ones; others drop to nothing below
             x = F.replace(x, F.lit(c), F.lit(t))
     return F.lower(F.regexp_replace(F.translate(x, FOLD_ONE, FOLD_ONE_TO), r"[^\x00-\x7F]", ""))
 
@@ -76,14 +85,14 @@ def _pt_date(f: Column) -> Column:
     slashed, iso, year = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\bde\s+(\d{4})\b"
 
     def part(pattern, group):
-        return F.regexp_extract(f, pattern, group).cast("int")
+        return F.regexp_extract(f, pattern, group).try_cast("int")
 
-    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(f, long, 2)), F.lit(0)).cast("int")
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(f, long, 2)), F.lit(0)).try_cast("int")
 
     def made(y, m, d):
         return F.struct(y.alias("year"), m.alias("month"), d.alias("day"))
 
-    none = F.lit(None).cast("int")
+    none = F.lit(None).try_cast("int")
     return (
         F.when(f.rlike(long) & month.isNotNull(), made(part(long, 3), month, part(long, 1)))
         .when(f.rlike(slashed), made(part(slashed, 3), part(slashed, 2), part(slashed, 1)))
@@ -113,7 +122,7 @@ def parse_urn(urn: Column) -> Column:
 
 def filename_date(name: Column) -> Column:
     found = F.regexp_extract(name, r"(?<!\d)(\d{8})(?!\d)", 1)
-    y, m, d = (F.substring(found, a, n).cast("int") for a, n in ((1, 4), (5, 2), (7, 2)))
+    y, m, d = (F.substring(found, a, n).try_cast("int") for a, n in ((1, 4), (5, 2), (7, 2)))
     return F.when((found != "") & m.between(1, 12) & d.between(1, 31), F.struct(y.alias("year"), m.alias("month"), d.alias("day")))
 
 
@@ -129,7 +138,7 @@ def genre(source: Column) -> Column:
     parts = F.split(stem, "_")
     firsts = F.transform(parts, lambda w: w.rlike("^[0-9]"))
     at = F.array_position(firsts, True)
-    head = F.array_join(F.when(at > 0, F.slice(parts, F.lit(1), (at - 1).cast("int"))).otherwise(parts), "_")
+    head = F.array_join(F.when(at > 0, F.slice(parts, F.lit(1), (at - 1).try_cast("int"))).otherwise(parts), "_")
     return F.when(head == "", stem).otherwise(head)
 
 

@@ -1,253 +1,276 @@
 """From labelled paragraphs to a section tree.
 
-Depth depends on the stack of open headings, which no window expresses, so one Arrow
-function folds each document's ordered array of candidates; all else is columns and windows.
-A document is one array, its unit of work; documents never meet in a group.
+Columns say what each paragraph could head: its form, the series it would continue, its heading.
+A document is then one ordered array of blocks. Depth depends on which sections are open, which no
+window expresses, so one Arrow function walks a document's candidates once and returns depth, parent,
+path and breadcrumb together; confidence and all texts are array expressions on the same row. Nothing
+is joined back, and the blocks are shuffled once, by document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import labels as L
 from ..functions.text import fold
-from .quotation import so_far, analyse
+from .quotation import analyse
 
 # Weights, limits, section kinds.
-W_STYLE, W_SERIES, W_UNIT, W_SOLO, W_PROSE, W_DECLARED = 0.9, 0.85, 0.8, 0.25, 0.8, 0.8
+W_STYLE, W_SERIES, W_UNIT, W_SOLO, W_DECLARED = 0.9, 0.85, 0.8, 0.25, 0.8
 SIBLING_GAP, MIN_RUN, MIN_SERIES, FULL_SECTIONS, FLAT_BELOW = 3, 4, 3, 3, 0.5
-SEQUENCES = frozenset({"roman", "alpha", "compound", "ordinal"})
+SEQUENCES = ("roman", "alpha", "compound", "ordinal")
 BY_DEPTH = ("secao", "subsecao", "item")
 BY_KIND = {
     "roman": "inciso", "alpha": "alinea", "compound": "alinea", "unit": "item", "capitulo": "capitulo", "secao": "secao",
     "subsecao": "subsecao", "titulo": "titulo", "livro": "livro", "parte": "parte", "ordinal": "item",
 }
-ASSIGNED = T.ArrayType(T.StructType([
-    T.StructField("idx", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("label_kind", T.StringType()),
-    T.StructField("heading", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("style", T.IntegerType()), T.StructField("prose", T.BooleanType()),
-]))
+_TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
+HEADER = T.StructType([T.StructField(name, kind) for name, kind in (
+    ("pos", _INT), ("idx", _LONG), ("depth", _INT), ("kind", _TEXT), ("label_kind", _TEXT), ("label", _TEXT), ("heading", _TEXT), ("rest", _TEXT),
+    ("score", T.DoubleType()), ("style", _INT), ("prose", T.BooleanType()), ("parent_idx", _LONG), ("path", T.ArrayType(_INT)), ("breadcrumb", T.ArrayType(_TEXT)),
+)])
 
 
-def unit_heads(blocks: DataFrame) -> DataFrame:
-    """doc_id, head of each ``X nº N`` series: three lines or more, numbers strictly increasing."""
+# --- unit series ---------------------------------------------------------------------------
+
+def _unit_lines(blocks: DataFrame) -> DataFrame:
+    """unit_head and unit_no of ``X nº N`` lines (null on others)."""
     t = L.stripped(F.col("text"))
-    lines = blocks.where(t.rlike(L.UNIT)).select(
-        "doc_id", "idx", F.regexp_replace(fold(F.regexp_extract(t, L.UNIT, 1)), r"^[ \-–—.:]+|[ \-–—.:]+$", "").alias("head"), F.regexp_extract(t, L.UNIT, 2).cast("int").alias("n")
-    ).where("head <> ''")
-    step = F.col("n") > F.lag("n").over(Window.partitionBy("doc_id", "head").orderBy("idx"))
-    return (
-        lines.withColumn("up", F.coalesce(step, F.lit(True))).groupBy("doc_id", "head")
-        .agg(F.count("*").alias("n_lines"), F.bool_and("up").alias("rising")).where((F.col("n_lines") >= MIN_SERIES) & F.col("rising"))
-        .select("doc_id", "head", "n_lines")
-    )
+    head = F.regexp_replace(fold(F.regexp_extract(t, L.UNIT, 1)), r"^[ \-–—.:]+|[ \-–—.:]+$", "")
+    is_line = t.rlike(L.UNIT) & (head != "")
+    return blocks.withColumn("unit_head", F.when(is_line, head)).withColumn("unit_no", F.when(is_line, F.regexp_extract(t, L.UNIT, 2).try_cast("int")))
+
+
+def _in_unit_series(lines: DataFrame) -> DataFrame:
+    """Adds unit_lines, the length of the series a line belongs to: three lines or more, numbers strictly increasing; else null."""
+    series = Window.partitionBy("doc_id", "unit_head")
+    step = F.coalesce(F.col("unit_no") > F.lag("unit_no").over(series.orderBy("idx")), F.lit(True))
+    rising = lines.withColumn("unit_step", step)
+    n = F.count("unit_no").over(series)
+    return rising.withColumn("unit_lines", F.when(F.col("unit_head").isNotNull() & (n >= MIN_SERIES) & F.min("unit_step").over(series), n)).drop("unit_step")
+
+
+def unit_heads(blocks: DataFrame) -> DataFrame:
+    """doc_id, head, n_lines of each unit series."""
+    lines = _in_unit_series(_unit_lines(blocks).where("unit_head is not null")).where("unit_lines is not null")
+    return lines.groupBy("doc_id", F.col("unit_head").alias("head")).agg(F.first("unit_lines").alias("n_lines"))
+
 
+# --- candidates ----------------------------------------------------------------------------
 
-def candidates(analysed: DataFrame, heads: DataFrame | None = None, section_patterns: tuple[str, ...] = ()) -> DataFrame:
-    """One row per paragraph that may head a section: label, style, prose form."""
+def candidates(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True) -> DataFrame:
+    """The blocks with ``form``: how a block could head a section (null: it can't), and what the walk needs to know.
+
+    declared: a heading the genre names; style: a style or outline level; top, sub: numbers of one or several
+    components; series: any other label, which continues the open one of its ``series``.
+    """
     rows = analysed
-    if heads is None:
-        label = L.parse_label(F.col("text"))
+    if units:
+        rows = _in_unit_series(_unit_lines(rows))
+        label = L.parse_label(F.col("text"), F.when(F.col("unit_lines").isNotNull(), F.array("unit_head")).otherwise(F.array().cast("array<string>")))
     else:
-        known = heads.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
-        rows = rows.join(known, "doc_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
-        label = L.parse_label(F.col("text"), F.col("heads"))
-    level = L.style_level(F.col("style"), F.col("outline_level"))
-    folded = fold(L.stripped(F.col("text")))
-    declared = F.lit(False)
+        label = L.parse_label(F.col("text"))
+    folded, declared = fold(L.stripped(F.col("text"))), F.lit(False)
     for p in section_patterns:
         declared = declared | folded.rlike(p)
-    rows = rows.withColumn("label", label).withColumn("level", level).withColumn("declared", declared & ~F.col("quoted") & level.isNull())
-    usable = F.col("label").isNotNull() & ~F.col("label.kind").isin("artigo", "paragrafo")
-    return rows.where(~F.col("quoted") & (F.col("level").isNotNull() | usable | F.col("declared"))).select("doc_id", "idx", "text", "label", "level", "declared")
+    rows = rows.withColumn("label", label).withColumn("level", L.style_level(F.col("style"), F.col("outline_level")))
+    kind, value, rest = F.col("label.kind"), F.col("label.value"), F.coalesce(L.stripped(F.col("label.rest")), F.lit(""))
+    form = (
+        F.when(F.col("quoted"), None).when(F.col("level").isNotNull(), "style").when(declared, "declared").when(kind.isin("artigo", "paragrafo"), None)
+        .when(kind == "numeric", F.when(F.size(value) == 1, "top").otherwise("sub")).when(kind.isNotNull(), "series")
+    )
+    series = F.when(kind == "compound", F.concat(kind, F.lit(" "), value[0].cast("string"))).when(kind == "unit", F.concat(kind, F.lit(" "), F.col("label.unit_head"))).otherwise(kind)
+    text = L.stripped(F.col("text"))
+    whole = form.isin("style", "declared")
+    named = F.when(whole, F.nullif(text, F.lit(""))).when((rest != "") & L.looks_like_heading(rest), rest)
+    raw = F.when(~whole & kind.isNotNull(), L.stripped(F.substr(text, F.lit(1), F.length(text) - F.length(rest))))
+    return rows.withColumn("form", form).withColumn("head", F.when(form.isNotNull(), F.struct(
+        kind.alias("kind"), series.alias("series"), value.alias("value"), F.col("level").alias("level"), named.alias("heading"),
+        F.when(named.isNull(), F.nullif(rest, F.lit(""))).alias("rest"), raw.alias("label"), text.rlike("[0-9]").alias("numbered"),
+    ))).drop("label", "level")
+
+
+# --- the walk ------------------------------------------------------------------------------
+
+@dataclass
+class _Walk:
+    """What is known of the whole document, and what is open: by depth, the series there and the value it has come to."""
 
+    ranks: dict[int, int]
+    top_holds: bool
+    lone: set[str]
+    open: dict[int, tuple[str, tuple[int, ...]]] = field(default_factory=dict)
+    last: int = 0
 
-def heading_of(rest: str) -> bool:
-    """A short or shouted line that doesn't end like a sentence."""
-    t = rest.strip()
-    words = t.split()
-    if not t or len(words) > L.MAX_HEADING_WORDS or (t[-1] in ".;:," and len(words) > 3):
-        return False
-    letters = [c for c in t if c.isalpha()]
-    return (bool(letters) and sum(c.isupper() for c in letters) > 0.8 * len(letters)) or (len(words) <= 6 and t[-1] != ".")
+    @classmethod
+    def of(cls, rows: list[dict]) -> _Walk:
+        tops = [r["value"][0] for r in rows if r["form"] == "top"]
+        steps = [b - a for a, b in zip(tops, tops[1:], strict=False)]
+        met = Counter(r["series"] for r in rows if r["form"] == "series" and r["kind"] in SEQUENCES)
+        levels = sorted({r["level"] for r in rows if r["form"] == "style"})
+        holds = not tops or (len(tops) > 1 and tops[0] <= 2 and all(0 < s <= 3 for s in steps))
+        return cls({v: i for i, v in enumerate(levels, 1)}, holds, {s for s, n in met.items() if n == 1})
 
+    def deepest(self, test: Callable[[str, tuple], bool]) -> int | None:
+        """The innermost depth whose series and value pass the test."""
+        return max((d for d, (series, value) in self.open.items() if test(series, value)), default=None)
 
-class _Stack:
-    """The open headings, innermost last: (key, depth, value)."""
+    def enter(self, depth: int, series: str, value: tuple[int, ...]) -> None:
+        """Closes what lies at this depth or below and opens the series there."""
+        self.open = {d: x for d, x in self.open.items() if d < depth} | {depth: (series, value)}
+        self.last = depth
 
-    def __init__(self):
-        self.rows: list[tuple] = []
 
-    def find(self, test):
-        return next((r for r in reversed(self.rows) if test(r)), None)
+def _below(depth: int | None) -> int:
+    return 1 if depth is None else depth + 1
 
-    def close(self, depth: int) -> None:
-        while self.rows and self.rows[-1][1] >= depth:
-            self.rows.pop()
 
+def _declared(w: _Walk, r: dict) -> int | None:
+    return _below(w.deepest(lambda series, _: series == "style"))
 
-def _key(c) -> tuple:
-    kind = c["kind"]
-    return (kind, c["value"][0]) if kind == "compound" else (kind, c["unit_head"]) if kind == "unit" else (kind,)
 
+def _style(w: _Walk, r: dict) -> int | None:
+    return w.ranks[r["level"]]
 
-def _score(kind: str, top: bool) -> float:
-    if kind == "unit":
+
+def _top(w: _Walk, r: dict) -> int | None:
+    return _below(w.deepest(lambda series, _: series == "declared")) if w.top_holds else None
+
+
+def _sub(w: _Walk, r: dict) -> int | None:
+    above = tuple(r["value"][:-1])
+    found = w.deepest(lambda series, value: series == "numeric" and value == above)
+    return None if found is None else found + 1
+
+
+def _series(w: _Walk, r: dict) -> int | None:
+    if r["series"] in w.lone:
+        return None
+    found = w.deepest(lambda series, _: series == r["series"])
+    if found is None:
+        return min(len(w.open), w.last) + 1
+    step = r["value"][-1] - w.open[found][1][-1]
+    return found if 0 < step and (r["kind"] == "unit" or step <= SIBLING_GAP) else None
+
+
+#: By form: the depth a candidate takes (None: it doesn't fit), and the name its series has while open.
+RULES = {"declared": _declared, "style": _style, "top": _top, "sub": _sub, "series": _series}
+OPENS = {"declared": "declared", "style": "style", "top": "numeric", "sub": "numeric"}
+
+
+def _weight(w: _Walk, r: dict) -> float:
+    if r["form"] in ("style", "declared"):
+        return W_STYLE if r["form"] == "style" else W_DECLARED
+    if r["kind"] == "unit":
         return W_UNIT
-    solo = kind == "ordinal" or (kind == "numeric" and not top)
-    return W_SOLO if solo else W_SERIES
-
-
-def _place(c, top: bool, stack: _Stack, last: int):
-    """(depth, key) of a labelled candidate, or None for one that doesn't fit; closes what it ends."""
-    value = list(c["value"])
-    if c["kind"] == "numeric" and len(value) == 1:
-        if not top:
-            return None
-        prose = stack.find(lambda r: r[0][0] == "prose")
-        depth = prose[1] + 1 if prose else 1
-        stack.close(depth)
-        return depth, ("numeric", ())
-    if c["kind"] == "numeric":
-        parent = tuple(value[:-1])
-        anchor = stack.find(lambda r: r[0][0] == "numeric" and r[2] == parent)
-        if anchor is None:
-            return None
-        stack.close(anchor[1] + 1)
-        return anchor[1] + 1, ("numeric", parent)
-    key = _key(c)
-    before = stack.find(lambda r: r[0] == key)
-    if before is None:
-        depth = min(len(stack.rows) + 1, last + 1) if last else 1
-    else:
-        step = value[-1] - before[2][-1]
-        if step <= 0 or (c["kind"] != "unit" and step > SIBLING_GAP):
-            return None
-        depth = before[1]
-    stack.close(depth)
-    return depth, key
+    return W_SOLO if r["kind"] == "ordinal" or (r["kind"] == "numeric" and not w.top_holds) else W_SERIES
 
 
 def unify(rows: list[dict]) -> list[dict]:
-    """Depths for a document's candidates, in order; those that don't fit are left out."""
-    tops = [c["value"][0] for c in rows if c["level"] is None and c["kind"] == "numeric" and len(c["value"]) == 1]
-    top = not tops or (len(tops) > 1 and tops[0] <= 2 and all(0 < b - a <= 3 for a, b in zip(tops, tops[1:], strict=False)))
-    labelled = [c for c in rows if c["level"] is None and c["kind"] in SEQUENCES]
-    met = Counter(_key(c) for c in labelled)
-    ranks = {v: i for i, v in enumerate(sorted({c["level"] for c in rows if c["level"] is not None}), 1)}
-    stack, out, last = _Stack(), [], 0
-    for c in rows:
-        heading, label_kind = c["text"].strip() or None, c["kind"]
-        if c["declared"] and c["level"] is None:
-            styled = stack.find(lambda r: r[0][0] == "style")
-            depth, key, value, score, kind, label_kind = (styled[1] + 1 if styled else 1), ("prose", c["idx"]), (), W_DECLARED, None, None
-            stack.close(depth)
-        elif c["level"] is not None:
-            depth, key, value, score, kind = ranks[c["level"]], ("style", c["level"]), (), W_STYLE, c["kind"]
-            stack.close(depth)
-        else:
-            if c["kind"] in SEQUENCES and met[_key(c)] < 2:
-                continue
-            placed = _place(c, top, stack, last)
-            if placed is None:
-                continue
-            depth, key = placed
-            depth = min(depth, last + 1) if last else depth
-            value = tuple(c["value"])
-            sibling = stack.find(lambda r, k=key: r[0] == k)
-            if sibling is not None and value[-1] <= sibling[2][-1]:
-                continue
-            score, kind = _score(c["kind"], top), c["kind"]
-            rest = (c["rest"] or "").strip()
-            heading = rest if rest and heading_of(rest) else None
-        stack.rows.append((key, depth, value))
-        named = BY_DEPTH[min(depth, 3) - 1] if kind in (None, "numeric") else BY_KIND.get(kind, "agrupamento")
-        out.append({"idx": c["idx"], "depth": depth, "kind": named, "label_kind": label_kind, "heading": heading, "score": score, "style": c["level"], "prose": key[0] == "prose", "text": c["text"]})
-        last = depth
-    return _demote(out)
-
-
-def _demote(rows: list[dict]) -> list[dict]:
-    """Of four or more styled headings of one depth, led by a numbered one, the unnumbered go one deeper."""
-    styled = [r for r in rows if not r["prose"]]
-    depths = [r["depth"] for r in styled]
-    i = 0
-    while i < len(styled):
-        j = i
-        while j < len(styled) and depths[j] == depths[i] and styled[j]["style"] is not None:
-            j += 1
-        numbered = [any(ch.isdigit() for ch in r["text"]) for r in styled[i:j]]
-        if j - i >= MIN_RUN and numbered[0] and sum(numbered) >= 2 and not all(numbered):
-            for r, n in zip(styled[i:j], numbered, strict=True):
-                if not n:
-                    r["depth"], r["kind"] = r["depth"] + 1, "subsecao"
-        i = max(j, i + 1)
-    return rows
-
-
-@F.pandas_udf(ASSIGNED)
-def _unified(column: pd.Series) -> pd.Series:
-    names = ("idx", "depth", "kind", "label_kind", "heading", "score", "style", "prose")
-    return pd.Series([[{n: r[n] for n in names} for r in unify([dict(x) for x in rows])] for rows in column])
-
-
-def headers(analysed: DataFrame, heads: DataFrame | None = None, section_patterns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, idx, depth, kind, label_kind, heading, score of every accepted section header."""
-    rows = candidates(analysed, heads, section_patterns)
-    packed = rows.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "text", F.col("label.kind").alias("kind"), F.col("label.value").alias("value"), F.col("label.rest").alias("rest"), F.col("label.unit_head").alias("unit_head"), "level", "declared"))).alias("rows")
-    )
-    return packed.select("doc_id", F.explode(_unified("rows")).alias("h")).select("doc_id", "h.*")
+    """A document's sections, in order: depth, kind, score and place in the tree of each candidate that fits."""
+    w, out = _Walk.of(rows), []
+    for r in rows:
+        depth = RULES[r["form"]](w, r)
+        if depth is None:
+            continue
+        w.enter(depth, OPENS.get(r["form"], r["series"]), tuple(r["value"] or ()))
+        kind = None if r["form"] == "declared" else r["kind"]
+        named = BY_DEPTH[min(depth, 3) - 1] if kind in (None, "numeric") else BY_KIND[kind] if kind in BY_KIND else "agrupamento"
+        out.append({
+            "pos": r["pos"], "idx": r["idx"], "depth": depth, "kind": named, "label_kind": kind, "label": r["label"], "heading": r["heading"], "rest": r["rest"],
+            "score": _weight(w, r), "style": r["level"], "prose": r["form"] == "declared", "numbered": r["numbered"],
+        })
+    _demote(out)
+    return _placed(out)
+
+
+def _demote(sections: list[dict]) -> None:
+    """Of a run of four or more styled headings of one depth, led by a numbered one, the unnumbered go one deeper."""
+    runs = groupby([s for s in sections if not s["prose"]], key=lambda s: (s["depth"], s["style"] is not None))
+    for run in [list(g) for (_, styled), g in runs if styled]:
+        count = sum(s["numbered"] for s in run)
+        if len(run) >= MIN_RUN and run[0]["numbered"] and 2 <= count < len(run):
+            for s in run:
+                if not s["numbered"]:
+                    s["depth"], s["kind"] = s["depth"] + 1, "subsecao"
+
+
+def _placed(sections: list[dict]) -> list[dict]:
+    """Adds parent, path (ordinals from the root) and breadcrumb; the parent is the last section of smaller depth."""
+    above: list[dict] = []
+    children: Counter = Counter()
+    for s in sections:
+        above = [a for a in above if a["depth"] < s["depth"]]
+        parent = above[-1] if above else None
+        up = parent["idx"] if parent else None
+        children[up] += 1
+        s |= {"parent_idx": up, "path": [*(parent["path"] if parent else ()), children[up]], "breadcrumb": [a["heading"] or "" for a in above]}
+        above.append(s)
+    return sections
+
+
+@F.arrow_udf(T.ArrayType(HEADER))
+def _walked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = to_arrow_type(T.ArrayType(HEADER))
+    for documents in batches:
+        yield pa.array([[{k: s[k] for k in HEADER.names} for s in unify(rows)] for rows in documents.to_pylist()], kind)
+
+
+def outlines(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True) -> DataFrame:
+    """One row per document: doc_id, blocks (idx, text, quoted in order), hs (its sections), n_sections, confidence, flat.
+
+    Confidence is the mean score, damped below three sections; a flat document's sections don't count.
+    """
+    rows = candidates(analysed, section_patterns, units)
+    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "quoted", "form", "head"))).alias("bs"))
+    known = F.filter(F.transform("bs", lambda b, i: F.struct(
+        i.alias("pos"), b["idx"].alias("idx"), b["form"].alias("form"), *[b["head"][c].alias(c) for c in ("kind", "series", "value", "level", "heading", "rest", "label", "numbered")],
+    )), lambda c: c["form"].isNotNull())
+    out = packed.select("doc_id", F.transform("bs", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["quoted"].alias("quoted"))).alias("blocks"), _walked(known).alias("hs"))
+    n = F.size("hs")
+    mean = F.aggregate("hs", F.lit(0.0), lambda a, h: a + h["score"]) / F.nullif(n, F.lit(0))
+    out = out.withColumn("n_sections", n.cast("long")).withColumn("confidence", F.coalesce(F.round(mean * F.least(F.lit(1.0), n / FULL_SECTIONS), 4), F.lit(0.0)))
+    return out.withColumn("flat", F.col("confidence") < FLAT_BELOW)
 
 
-def document_confidence(found: DataFrame) -> DataFrame:
-    """doc_id, n_sections, confidence (mean score, damped below three sections), flat."""
-    per = found.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.avg("score").alias("mean"))
-    out = per.withColumn("confidence", F.round(F.col("mean") * F.least(F.lit(1.0), F.col("n_sections") / FULL_SECTIONS), 4))
-    return out.select("doc_id", "n_sections", "confidence", (F.col("confidence") < FLAT_BELOW).alias("flat"))
+def headers(outlined: DataFrame) -> DataFrame:
+    """doc_id, idx, depth, kind, label_kind, heading, score, style, prose of every accepted section header."""
+    return outlined.select("doc_id", F.explode("hs").alias("h")).select("doc_id", *[f"h.{c}" for c in ("idx", "depth", "kind", "label_kind", "heading", "score", "style", "prose")])
 
 
-def sections(found: DataFrame) -> DataFrame:
-    """Adds path (ordinals from the root), parent_idx and breadcrumb to the headers of documents that aren't flat.
+def document_confidence(outlined: DataFrame) -> DataFrame:
+    """doc_id, n_sections, confidence, flat of documents with any header."""
+    return outlined.where("n_sections > 0").select("doc_id", "n_sections", "confidence", "flat")
 
-    The parent is the last header of smaller depth, folded along the document in one pass over its array.
-    """
-    keep = document_confidence(found).where("not flat").select("doc_id")
-    step = """aggregate(hs, named_struct('open', cast(array() as array<struct<depth:int,idx:bigint,title:string,n:int>>), 'roots', 0,
-        'out', cast(array() as array<struct<idx:bigint,parent:bigint,path:array<int>,crumb:array<string>>>)),
-      (a, h) -> named_struct(
-        'open', concat(transform(filter(a.open, o -> o.depth < h.depth), (o, i) -> named_struct('depth', o.depth, 'idx', o.idx, 'title', o.title, 'n',
-                  o.n + if(i = size(filter(a.open, o -> o.depth < h.depth)) - 1, 1, 0))),
-                array(named_struct('depth', h.depth, 'idx', h.idx, 'title', h.title, 'n', 0))),
-        'roots', a.roots + if(size(filter(a.open, o -> o.depth < h.depth)) = 0, 1, 0),
-        'out', concat(a.out, array(named_struct('idx', h.idx,
-          'parent', element_at(filter(a.open, o -> o.depth < h.depth), -1).idx,
-          'path', if(size(filter(a.open, o -> o.depth < h.depth)) = 0, array(a.roots + 1),
-                  concat(array(a.roots), transform(filter(a.open, o -> o.depth < h.depth), (o, i) -> o.n + if(i = size(filter(a.open, o -> o.depth < h.depth)) - 1, 1, 0)))),
-          'crumb', transform(filter(a.open, o -> o.depth < h.depth), o -> o.title))))),
-      a -> a.out)"""
-    step = step.replace("element_at(filter(a.open, o -> o.depth < h.depth), -1).idx", "try_element_at(filter(a.open, o -> o.depth < h.depth), -1).idx")
-    packed = found.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("idx"), F.col("depth"), F.coalesce("heading", F.lit("")).alias("title"), "kind"))).alias("hs")
-    )
-    tree = packed.select("doc_id", F.explode(F.expr(step)).alias("t")).select("doc_id", F.col("t.idx").alias("idx"), F.col("t.parent").alias("parent_idx"), F.col("t.path").alias("path"), F.col("t.crumb").alias("breadcrumb"))
-    return found.join(tree, ["doc_id", "idx"])
+
+def sections(outlined: DataFrame) -> DataFrame:
+    """doc_id, idx, depth, kind, ..., parent_idx, path, breadcrumb of the sections of documents that aren't flat."""
+    return outlined.where("not flat").select("doc_id", F.explode("hs").alias("h")).select("doc_id", "h.*").drop("pos")
+
+
+def own_text(h: Column, until: Column, blocks: Column) -> Column:
+    """What stands below a header and before place ``until``, as array<struct<text, quoted>>: the prose its label opens, then the paragraphs."""
+    below = paragraphs(F.slice(blocks, h["pos"] + 2, F.greatest(until - h["pos"] - 1, F.lit(0))))
+    opened = F.struct(h["rest"].alias("text"), F.lit(False).alias("quoted"))
+    return F.when(h["rest"].isNull(), below).otherwise(F.concat(F.array(opened), below))
 
 
-def contents(analysed: DataFrame, tree: DataFrame) -> DataFrame:
-    """Each paragraph with the header it stands under (null: before the first section)."""
-    marks = tree.select("doc_id", "idx", F.col("idx").alias("header"))
-    rows = analysed.join(marks, ["doc_id", "idx"], "left")
-    return rows.withColumn("section_idx", F.last("header", ignorenulls=True).over(so_far())).withColumn("is_header", F.col("header").isNotNull()).drop("header")
+def paragraphs(blocks: Column) -> Column:
+    return F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), b["quoted"].alias("quoted")))
 
 
 def tree_of(blocks: DataFrame, section_patterns: tuple[str, ...] = ()) -> DataFrame:
     """The section rows of documents given as blocks."""
-    return sections(headers(analyse(blocks), unit_heads(blocks), section_patterns))
+    return sections(outlines(analyse(blocks), section_patterns))
 
 
-__all__ = ["candidates", "contents", "document_confidence", "headers", "sections", "tree_of", "unify", "unit_heads"]
+__all__ = ["candidates", "document_confidence", "headers", "outlines", "own_text", "paragraphs", "sections", "tree_of", "unify", "unit_heads"]

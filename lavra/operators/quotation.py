@@ -39,33 +39,30 @@ def non_empty(blocks: DataFrame) -> DataFrame:
 def quote_bands(blocks: DataFrame) -> DataFrame:
     """doc_id, modal_indent, rule (deviation / declared / none), band_low, band_high over non-empty blocks.
 
-    The mode of equals is the one met first, so it is a maximum by (count, earliest place).
+    One count per document and pair of indents, and windows over these few rows; all of it keeps the blocks'
+    partitioning by document. The mode of equals is the one met first: a maximum by (count, earliest place).
     """
-    body = non_empty(blocks)
-
-    def modes(column: str) -> DataFrame:
-        return body.where(F.col(column).isNotNull()).groupBy("doc_id", F.col(column).alias("v")).agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-
-    effective = modes("indent_effective")
-    modal = effective.groupBy("doc_id").agg(F.max_by("v", F.struct("n", -F.col("first"))).alias("modal_indent"), F.sum("n").alias("n_blocks"))
-    high = (
-        effective.join(modal, "doc_id").where(F.col("v") >= F.col("modal_indent") + INDENT_MARGIN)
-        .groupBy("doc_id").agg(F.sum("n").alias("n_high"), F.min("v").alias("low"), F.max("v").alias("top"))
-    )
-    inherited = (
-        body.join(modal, "doc_id").where(F.col("indent_effective") == F.col("modal_indent"))
-        .groupBy("doc_id").agg(F.avg(F.col("indent_direct").isNull().cast("int")).alias("inherited"))
-    )
-    direct = modes("indent_direct").where(F.col("v") >= INDENT_MARGIN)
-    centre = direct.groupBy("doc_id").agg(F.max_by("v", F.struct("n", -F.col("first"))).alias("centre"))
-    near = (
-        direct.join(centre, "doc_id").where(F.abs(F.col("v") - F.col("centre")) <= DECLARED_TOLERANCE)
-        .groupBy("doc_id").agg(F.sum("n").alias("n_near"), F.min("v").alias("near_low"), F.max("v").alias("near_top"))
-    )
-    out = modal.join(high, "doc_id", "left").join(inherited, "doc_id", "left").join(near, "doc_id", "left")
-    large = F.col("n_blocks") >= MIN_BAND
-    deviation = large & (F.coalesce("n_high", F.lit(0)) >= MIN_BAND)
-    declared = large & (F.col("inherited") > 0.5) & (F.coalesce("n_near", F.lit(0)) >= MIN_BAND)
+    cells = non_empty(blocks).groupBy("doc_id", F.col("indent_effective").alias("eff"), F.col("indent_direct").alias("own")).agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    cells = cells.withColumn("wide", F.col("own") >= INDENT_MARGIN)
+    for name in ("eff", "own"):
+        same = Window.partitionBy("doc_id", name)
+        cells = cells.withColumn(f"{name}_rank", F.struct(F.sum("n").over(same).alias("n"), (-F.min("first").over(same)).alias("first")))
+    cells = cells.withColumn("modal", F.max_by("eff", F.when(F.col("eff").isNotNull(), F.col("eff_rank"))).over(by_doc()))
+    cells = cells.withColumn("centre", F.max_by("own", F.when(F.col("wide"), F.col("own_rank"))).over(by_doc()))
+    high, at_mode = F.col("eff") >= F.col("modal") + INDENT_MARGIN, F.col("eff") == F.col("modal")
+    near = F.col("wide") & (F.abs(F.col("own") - F.col("centre")) <= DECLARED_TOLERANCE)
+
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+    out = cells.groupBy("doc_id").agg(
+        F.first("modal").alias("modal_indent"), total(F.col("eff").isNotNull()).alias("n_blocks"),
+        total(high).alias("n_high"), F.min(F.when(high, F.col("eff"))).alias("low"), F.max(F.when(high, F.col("eff"))).alias("top"),
+        (total(at_mode & F.col("own").isNull()) / total(at_mode)).alias("inherited"),
+        total(near).alias("n_near"), F.min(F.when(near, F.col("own"))).alias("near_low"), F.max(F.when(near, F.col("own"))).alias("near_top"),
+    ).where("modal_indent is not null")
+    deviation = (F.col("n_blocks") >= MIN_BAND) & (F.col("n_high") >= MIN_BAND)
+    declared = (F.col("n_blocks") >= MIN_BAND) & (F.col("inherited") > 0.5) & (F.col("n_near") >= MIN_BAND)
     return out.select(
         "doc_id", "modal_indent",
         F.when(deviation, "deviation").when(declared, "declared").otherwise("none").alias("rule"),

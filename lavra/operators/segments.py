@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The id token of each rendering and whether section numbers go on after the front regions.
+from . import hierarchy
+
+# The id token of each rendering and whether section numbers go on after what stands before them; legal ids.
 TOKENS = {"generico": ("agr", True), "generico-aninhado": ("agh", False)}
 ID = r"^[A-Za-z_][A-Za-z0-9_.-]*$"
+ROW = "struct<id:string,kind:string,level:int,label:string,heading:string,breadcrumb:array<string>,paras:array<struct<text:string,quoted:boolean>>,path:array<int>>"
+
+
+def is_legal_id(ident: Column) -> Column:
+    return ident.rlike(ID)
 
 
 def segment_id(path: Column, emitter: str = "generico", start: Column | None = None, root: str = "pp1") -> Column:
@@ -18,21 +25,40 @@ def segment_id(path: Column, emitter: str = "generico", start: Column | None = N
     return F.concat(F.lit(root), F.array_join(steps, ""))
 
 
-def segments(tree: DataFrame, content: DataFrame, urn: Column, emitter: str = "generico") -> DataFrame:
-    """One row per section, its own text below it, and one for what stands before the first section."""
-    body = content.where("not is_header").groupBy("doc_id", "section_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
-    front = body.where("section_idx is null").join(tree.select("doc_id").distinct(), "doc_id", "left_semi")
-    starts = front.select("doc_id", F.lit(1).alias("start"))
-    rows = (
-        tree.join(body.withColumnRenamed("section_idx", "idx"), ["doc_id", "idx"], "left").join(starts, "doc_id", "left")
-        .withColumn("id", segment_id(F.col("path"), emitter, F.coalesce("start", F.lit(0))))
-        .select("doc_id", "id", "kind", F.col("depth").alias("level"), "heading", "breadcrumb", F.coalesce("text", F.lit("")).alias("text"), "path")
-    )
-    lead = front.select(
-        "doc_id", F.lit("pp1_agr1").alias("id"), F.lit("texto").alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"),
-        F.array().cast("array<string>").alias("breadcrumb"), "text", F.array().cast("array<int>").alias("path"),
+def laid_out(outlined: DataFrame, emitter: str = "generico") -> DataFrame:
+    """Adds ``rows`` (array of ROW, in reading order): what stands before the first section, then every section.
+
+    A flat document is one row that holds all its text. No join: a section's paragraphs are the blocks up to the next header.
+    """
+    hs = F.when(F.col("flat"), F.slice("hs", 1, 0)).otherwise(F.col("hs"))
+    out = outlined.withColumn("hs", hs)
+    size = F.size("blocks")
+    lead = hierarchy.paragraphs(F.slice("blocks", F.lit(1), F.coalesce(F.try_element_at("hs", F.lit(1))["pos"], size)))
+    out = out.withColumn("lead", lead)
+    start = F.when(F.size("lead") > 0, 1).otherwise(0)
+    none = F.lit(None).cast("string")
+    first = F.struct(
+        F.lit("pp1_agr1").alias("id"), F.lit("texto").alias("kind"), F.lit(0).alias("level"), none.alias("label"), none.alias("heading"),
+        F.array().cast("array<string>").alias("breadcrumb"), F.col("lead").alias("paras"), F.array().cast("array<int>").alias("path"),
     )
-    return rows.unionByName(lead).withColumn("urn", F.concat(urn, F.lit("!"), F.col("id")))
+
+    def row(h: Column, i: Column) -> Column:
+        until = F.coalesce(F.try_element_at("hs", i + 2)["pos"], size)
+        return F.struct(
+            segment_id(h["path"], emitter, start).alias("id"), h["kind"].alias("kind"), h["depth"].alias("level"), h["label"].alias("label"), h["heading"].alias("heading"),
+            h["breadcrumb"].alias("breadcrumb"), hierarchy.own_text(h, until, F.col("blocks")).alias("paras"), h["path"].alias("path"),
+        )
+
+    rows = F.concat(F.when(F.size("lead") > 0, F.array(first.cast(ROW))).otherwise(F.array().cast(f"array<{ROW}>")), F.transform("hs", row).cast(f"array<{ROW}>"))
+    return out.withColumn("rows", rows).drop("lead")
+
+
+def segments(outlined: DataFrame, urn: Column, emitter: str = "generico") -> DataFrame:
+    """One row per section with its own text, and one for what stands before the first section; no document is left out."""
+    rows = laid_out(outlined, emitter).select("doc_id", F.posexplode("rows").alias("order", "r"))
+    return rows.select(
+        "doc_id", "r.id", "r.kind", "r.level", "r.label", "r.heading", "r.breadcrumb", F.array_join("r.paras.text", " ").alias("text"), "r.path", "order",
+    ).withColumn("urn", F.concat(urn, F.lit("!"), F.col("id")))
 
 
 def prefixes(ident: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import articulation as statutes
-from ..operators import hierarchy, profiles, quotation, rendering, reports, routing, segmentation, segments
+from ..operators import hierarchy, profiles, quotation, rendering, reports, routing, seams, segmentation, segments, xml
 from ..sources import readers
 from . import oracle as O
 from .corpus import LEGAL, PLACED, legal_blocks, page_blocks
@@ -275,38 +275,114 @@ def document_identity(spark, sf):
 
 # --- tree and segments ---------------------------------------------------------------------
 
-def _headers(spark, sf):
-    blocks = legal_blocks(spark, sf)
-    return hierarchy.headers(quotation.analyse(blocks), hierarchy.unit_heads(blocks))
+def _outlines(spark, sf):
+    return hierarchy.outlines(_analysed(spark, sf))
 
 
 @query()
 def unify_levels(spark, sf):
-    return _headers(spark, sf)
+    return hierarchy.headers(_outlines(spark, sf))
 
 
 @query()
 def document_confidence(spark, sf):
-    return hierarchy.document_confidence(_headers(spark, sf))
+    return hierarchy.document_confidence(_outlines(spark, sf))
 
 
 @query()
 def section_tree(spark, sf):
-    return hierarchy.sections(_headers(spark, sf)).select("doc_id", "idx", "depth", "kind", "parent_idx", F.concat_ws(".", F.col("path").cast("array<string>")).alias("path"), F.concat_ws(" | ", "breadcrumb").alias("breadcrumb"))
+    return hierarchy.sections(_outlines(spark, sf)).select("doc_id", "idx", "depth", "kind", "parent_idx", F.concat_ws(".", F.col("path").cast("array<string>")).alias("path"), F.concat_ws(" | ", "breadcrumb").alias("breadcrumb"))
+
+
+def _urn():
+    return F.concat(F.lit("urn:lex:br:federal:documento:0000;"), F.col("doc_id").cast("string"))
 
 
 @query()
 def segment_rows(spark, sf):
-    blocks = legal_blocks(spark, sf)
-    analysed = quotation.analyse(blocks)
-    tree = hierarchy.sections(hierarchy.headers(analysed, hierarchy.unit_heads(blocks)))
-    urn = F.concat(F.lit("urn:lex:br:federal:documento:0000;"), F.col("doc_id").cast("string"))
-    return segments.segments(tree, hierarchy.contents(analysed, tree), urn).drop("path").withColumn("breadcrumb", F.concat_ws(" | ", "breadcrumb"))
+    """Every document's text as addressable rows; a flat document is one."""
+    return segments.segments(_outlines(spark, sf), _urn()).drop("path").withColumn("breadcrumb", F.concat_ws(" | ", "breadcrumb"))
+
+
+_WORDS = f"WITH legal AS ({LEGAL}) SELECT doc_id, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS"
+
+
+def _n_words(*columns):
+    return F.size(F.filter(F.split(F.concat_ws(" ", *columns), r"\s+"), lambda w: w != ""))
+
+
+@query(f"{_WORDS} n_words FROM legal GROUP BY doc_id")
+def segment_words(spark, sf):
+    """Words in all rows of a document, labels and headings too: as many as its blocks have."""
+    rows = segments.segments(_outlines(spark, sf), _urn())
+    return rows.groupBy("doc_id").agg(F.sum(_n_words("label", "heading", "text")).alias("n_words"))
+
+
+def _xml(spark, sf, emitter):
+    return xml.rendered(segments.laid_out(_outlines(spark, sf), emitter), _urn(), emitter)
+
+
+def _read_words(documents):
+    return documents.select("doc_id", F.size(xml.words(F.col("xml"))).cast("long").alias("n_words"))
+
+
+@query(f"{_WORDS} n_words FROM legal GROUP BY doc_id")
+def xml_flat_words(spark, sf):
+    """Words read back from the flat rendering of every document."""
+    return _read_words(_xml(spark, sf, "generico"))
+
+
+@query(f"{_WORDS} n_words FROM legal GROUP BY doc_id")
+def xml_nested_words(spark, sf):
+    return _read_words(_xml(spark, sf, "generico-aninhado"))
+
+
+def _published(spark, sf):
+    units = statutes.articulation(legal_blocks(spark, sf), texts=True)
+    return xml.rendered_statutory(units, _xml(spark, sf, "generico"), _routed(spark, sf), _urn())
+
+
+@query(f"{_WORDS} n_words FROM legal GROUP BY doc_id")
+def xml_published_words(spark, sf):
+    """Words of each document as published: statutory where its route and words allow, else flat."""
+    return _read_words(_published(spark, sf))
+
+
+@query()
+def xml_published(spark, sf):
+    return _published(spark, sf)
+
+
+@query()
+def xml_segments(spark, sf):
+    """Segment rows read back from the nested rendering."""
+    return xml.segments_of(_xml(spark, sf, "generico-aninhado")).drop("path").withColumn("breadcrumb", F.concat_ws(" | ", "breadcrumb"))
+
+
+@query(r"SELECT o_orderkey, regexp_matches(lower(replace(o_orderpriority, '-', '_')) || '_' || o_orderkey, '^[A-Za-z_][A-Za-z0-9_.-]*$') AS legal FROM orders")
+def legal_ids(spark, sf):
+    ident = F.concat(F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit("_"))), F.lit("_"), F.col("o_orderkey").cast("string"))
+    return _table(spark, sf, "orders").select("o_orderkey", segments.is_legal_id(ident).alias("legal"))
+
+
+_LINKED = f"""WITH legal AS ({LEGAL}), p AS (SELECT doc_id, idx, text, substr(sha256('urn:x' || chr(31) || text), 1, 32) AS key FROM legal),
+a AS (SELECT DISTINCT text, CASE WHEN text LIKE 'Lei%' THEN 1 ELSE 0 END AS refs FROM legal WHERE length(text) % 3 <> 0)
+SELECT CASE WHEN a.refs IS NULL THEN 'miss' WHEN a.refs = 0 THEN 'none' ELSE 'hit' END AS link_status, count(*) AS n, CAST(coalesce(sum(a.refs), 0) AS BIGINT) AS n_references FROM p LEFT JOIN a USING (text) GROUP BY 1"""
+
+
+@query(_LINKED)
+def linked_references(spark, sf):
+    """Cached answers of a linker joined by key: hits, empty answers and misses."""
+    rows = legal_blocks(spark, sf).select("doc_id", "idx", "text", F.lit("urn:x").alias("context_urn"))
+    known = rows.where(F.length("text") % 3 != 0).select("text").distinct()
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("urn:lex:br:federal:lei:0000;0").alias("urn"), F.lit("Lei").alias("text")))
+    refs = F.when(F.col("text").startswith("Lei"), one).otherwise(F.slice(one, 1, 0))
+    return seams.link_report(seams.linked(rows, known.select(seams.link_key(F.lit("urn:x"), F.col("text")).alias("key"), refs.alias("refs"))))
 
 
 @query()
 def flatness_by_genre(spark, sf):
-    flat = hierarchy.document_confidence(_headers(spark, sf)).select("doc_id", "flat")
+    flat = _outlines(spark, sf).select("doc_id", "flat")
     outcomes = profiles.selected(profiles.scores(legal_blocks(spark, sf))).select("doc_id", F.col("profile").alias("genre")).join(flat, "doc_id", "left")
     return reports.flatness(outcomes.withColumn("ok", F.lit(True)).withColumn("flat", F.coalesce("flat", F.lit(True))))
 
@@ -489,7 +565,7 @@ def html_blocks(spark, sf):
 def html_outline(spark, sf):
     """Sections of the pages by their heading levels."""
     blocks = page_blocks(spark, sf).where("error is null and kind = 'para'")
-    return hierarchy.document_confidence(hierarchy.headers(quotation.analyse(blocks)))
+    return hierarchy.document_confidence(hierarchy.outlines(quotation.analyse(blocks), units=False))
 
 
 @query()

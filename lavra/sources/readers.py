@@ -18,6 +18,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = "kind string, text string, style string, outline_level int, num_id string, ilvl int, indent_direct int, indent_effective int"
 TWIPS_PER_BLANK, TAB = 180, 4
@@ -31,6 +32,12 @@ def clean(text: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).strip()
 
 
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """The text of a file's bytes; whatever they are, there is one."""
+    return content.map(lambda data: None if data is None else decode(bytes(data)))
+
+
 def txt_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text to blocks: paragraphs are parted by blank lines, their lines joined by a space."""
     lines = F.regexp_replace("text", "\r\n?", "\n")
@@ -279,22 +286,33 @@ def docx_blocks(files: DataFrame) -> DataFrame:
 
 
 def corpus_files(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
-    """doc_id, path, suffix, content, error of every file below the paths, once each, in path order."""
+    """doc_id, path, suffix, content, error of every file below the paths, once each, in path order.
+
+    A file of no bytes at all is passed over by Spark's readers and so has no row; one of blanks is an empty document.
+    The id is a hash of the path; should two paths ever share one, both are rows with an error rather than one document.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).dropDuplicates(["path"])
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select("path", suffix.alias("suffix"), "content").withColumn("error", F.when(~F.col("suffix").isin(*SUFFIXES), F.concat(F.lit("unsupported format: "), F.col("suffix"))))
+    rows = files.select("path", suffix.alias("suffix"), "content")
     if limit is not None:
         rows = rows.orderBy("path").limit(limit)
-    return rows.withColumn("doc_id", F.xxhash64("path"))
+    rows = rows.withColumn("doc_id", F.xxhash64("path"))
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path").distinct()
+    twice = names.groupBy(F.xxhash64("path").alias("doc_id")).agg(F.count("*").alias("n_paths")).where("n_paths > 1")
+    error = F.when(F.col("n_paths").isNotNull(), F.lit("another file has the same id")).when(
+        ~F.col("suffix").isin(*SUFFIXES), F.concat(F.lit("unsupported format: "), F.col("suffix"))
+    )
+    return rows.join(twice, "doc_id", "left").withColumn("error", error).select("doc_id", "path", "suffix", "content", "error")
 
 
 def read_corpus(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
-    """The blocks of all files, by suffix; unsupported ones are rows with an error."""
+    """The blocks of all files, by suffix; unsupported and unreadable ones are rows with an error."""
     files = corpus_files(spark, *paths, limit=limit)
+    good = files.where("error is null")
     none = F.lit(None).cast("string")
-    txt = txt_blocks(files.where("suffix = 'txt'").select("doc_id", F.decode("content", F.lit("UTF-8")).alias("text"))).withColumn("error", none)
-    web = html_blocks(files.where("suffix in ('html', 'htm')"))
-    docx = docx_blocks(files.where("suffix = 'docx'"))
+    txt = txt_blocks(good.where("suffix = 'txt'").select("doc_id", decoded("content").alias("text"))).withColumn("error", none)
+    web = html_blocks(good.where("suffix in ('html', 'htm')"))
+    docx = docx_blocks(good.where("suffix = 'docx'"))
     bad = files.where("error is not null").select("doc_id", "error")
     return txt.unionByName(web).unionByName(docx).unionByName(bad, allowMissingColumns=True)
 
@@ -320,6 +338,26 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_xml(documents: DataFrame, path: str) -> DataFrame:
+    """Writes doc_id, urn, xml as one text file a document, in the task that holds it; gives doc_id, file.
+
+    ``path`` is a folder all executors share. Files are replaced whole, so a task that is repeated does no harm.
+    """
+    import os
+
+    def run(batches):
+        os.makedirs(path, exist_ok=True)
+        for pdf in batches:
+            for name, xml in zip(pdf["file"], pdf["xml"], strict=True):
+                part = os.path.join(path, f".{name}.{os.getpid()}")
+                with open(part, "w", encoding="utf-8") as out:
+                    out.write(xml + "\n")
+                os.replace(part, os.path.join(path, name))
+            yield pdf[["doc_id", "file"]]
+
+    return file_names(documents).select("doc_id", "file", "xml").mapInPandas(run, "doc_id long, file string")
+
+
 def file_names(documents: DataFrame) -> DataFrame:
     """Adds ``file``: the name's slug, and ``_2``, ``_3`` ... where documents share one, in id order."""
     slug = F.regexp_replace(F.regexp_replace(F.lower("urn"), "^urn:lex:", ""), "[^a-z0-9]+", "-")

@@ -12,13 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quotation import analyse
 from ..operators.routing import census, route
-from ..sources.readers import txt_blocks
+from ..sources.readers import decoded, txt_blocks
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, text of every text file that turns up below the path."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), decoded("content").alias("text"))
 
 
 def route_batches(texts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -82,7 +82,9 @@ def test_txt_blocks_and_json_round_trip(spark):
 
 
 def row(idx, kind=None, value=(), level=None, text="x", rest=""):
-    return {"idx": idx, "text": text, "kind": kind, "value": list(value), "rest": rest, "unit_head": None, "level": level, "declared": False}
+    form = "style" if level is not None else ("top" if len(value) == 1 else "sub") if kind == "numeric" else "series"
+    heading = text if form == "style" else None
+    return {"pos": idx, "idx": idx, "form": form, "kind": kind, "series": kind, "value": list(value), "level": level, "heading": heading, "rest": rest, "label": None, "numbered": any(c.isdigit() for c in text)}
 
 
 def test_unify_levels():

@@ -3,10 +3,12 @@
 import importlib
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 
 from lavra.plans import queries as plans
+from lavra.plans.corpus import legal_blocks
 
 from .compare import connect, differences
 from .conftest import ROOT
@@ -39,6 +41,13 @@ def test_segments_conserve_text_and_name_each_row_once(spark, sf):
     rows = plans.segment_rows(spark, sf).collect()
     assert len({r["urn"] for r in rows}) == len(rows)
     assert all(r["id"].startswith("pp1_agr") for r in rows)
+    words = {}
+    for r in rows:
+        words.setdefault(r["doc_id"], Counter()).update(" ".join(filter(None, (r["label"], r["heading"], r["text"]))).split())
+    want = {}
+    for b in legal_blocks(spark, sf).select("doc_id", "text").collect():
+        want.setdefault(b["doc_id"], Counter()).update(b["text"].split())
+    assert words == want
 
 
 def test_html_blocks_have_no_errors(spark, sf):
