@@ -23,11 +23,14 @@ A gram with more than ``group_max`` distinct blocks isn't laid out in one task:
 are dealt one by one to the task of their first ``length`` bytes' 128-bit hash and counted there,
 with map-side sums (exact too, at more shuffle).
 
-Blocks are told apart by 128 bits of hashes of their content; everything else is decided on bytes.
+Blocks are told apart by 128 bits of hashes of their content, and blocks met twice go out whole on these alone;
+everything else is decided on bytes.
 
 Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; rows
 that repeat are separate documents and so repeat each other; strings are judged on the
-input and overlapping ones count; an empty table gives no rows; extra columns are ignored.
+input and overlapping ones count, so ties don't arise; very long texts are scanned in overlapping pieces; rows
+without an id are told apart by their texts, and equal ones repeat each other; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import HOT, id_text, materialize
 
 LENGTH, GRAM, COVER = 400, 64, 64
 PIECE = 1 << 20  # bytes scanned at once; positions in a piece take 21 bits
@@ -218,7 +221,7 @@ def _pieces(ids, texts, length):
         yield group
 
 
-BLOCKS = "doc_id long, mark int, h long, content long, anchor long, lo long, hi long"
+BLOCKS = "doc_id long, mark long, h long, content long, anchor long, lo long, hi long"
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
@@ -242,7 +245,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array([x[0][0] for x in group])[doc], pa.int64()),
-                        pa.array(np.array([x[0][1] for x in group])[doc], pa.int32()),
+                        pa.array(np.array([x[0][1] for x in group])[doc], pa.int64()),
                         pa.array(h.view(np.int64)), pa.array(content.view(np.int64)),
                         pa.array(at + shift), pa.array(lo + shift), pa.array(hi + shift),
                     ],
@@ -374,9 +377,9 @@ def remove_repeats(
     docs: DataFrame, length: int = LENGTH, group_max: int = 20_000, with_bytes: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes, end exclusive), kept (bytes, if ``with_bytes``)."""
-    # rows that share a doc_id are told apart by their text
+    # rows that share a doc_id are told apart by 64 bits of hash of their text
     no_id = F.lit(-(1 << 63))
-    texts = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", no_id).alias("doc_id"), F.hash("text").alias("mark"), "text")
+    texts = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", no_id).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     if length < GRAM + 8:
         raise ValueError(f"length has to be at least {GRAM + 8}")
     found = materialize(anchors(texts.select("doc_id", "mark", "text"), length), "anchors")
@@ -396,8 +399,14 @@ def remove_repeats(
     if not shared.where(F.col("contents") > group_max).limit(1).isEmpty():
         runs = runs.union(_counted_strings(_cut_out(sources.select("text", large.alias("blocks")), length), length))
     runs = runs.join(copies, ["h", "content"], "left_anti")  # copies are removed as a whole
-    whole = found.join(copies, ["h", "content"], "left_semi").select("doc_id", "mark", "lo", (F.col("hi") + length).alias("hi"))
-    parts = found.join(runs, ["h", "content"]).select("doc_id", "mark", "anchor", F.explode("runs").alias("r")).select(
+    # blocks met in a thousandth of all places, a thousand of them at most, are known to every task, so that the
+    # places of a passage that a third of all documents share stay where they are
+    many = max(HOT, found.count() / HOT)
+    hot = F.broadcast(shared.where(F.col("n") >= many).select("h", "content"))  # HOT rows at most
+    rare = found.join(hot, ["h", "content"], "left_anti")
+    whole = found.join(hot, ["h", "content"], "left_semi").unionByName(rare.join(copies, ["h", "content"], "left_semi"))
+    whole = whole.select("doc_id", "mark", "lo", (F.col("hi") + length).alias("hi"))
+    parts = rare.join(runs, ["h", "content"]).select("doc_id", "mark", "anchor", F.explode("runs").alias("r")).select(
         "doc_id", "mark", (F.col("anchor") + F.col("r.lo")).alias("lo"), (F.col("anchor") + F.col("r.hi") + length).alias("hi")
     )
     spans = whole.union(parts).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
