@@ -18,12 +18,13 @@ it is read at the same place, so it comes back; two cards so close that one read
 of both are found, but may not come back.
 
 Defined results: null text counts as empty; a text without findings is returned as it is;
-numbers that fail validation are left alone; repeated rows are treated alike; an empty
-table gives no rows; extra columns are ignored.
+numbers that fail validation are left alone; of kinds that tie for a stretch the earlier in ``KINDS`` wins; repeated
+rows are treated alike; very long texts are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -177,16 +178,43 @@ def _read_again(kind: str, text: str, at: int, lo: int, hi: int, taken: list[tup
     return fits
 
 
+def _day(m: re.Match) -> tuple[int, str] | None:
+    """A date's day and which way round it is written; null for no date of the range."""
+    year, month, day = (m[1], m[3], m[4]) if m[1] else (m[8], m[7], m[5])
+    for order, mo, d in (("year first" if m[1] else "day first", month, day), *([] if m[1] else [("month first", day, month)])):
+        try:
+            found = dt.date(int(year), int(mo), int(d)).toordinal() - FIRST_DAY
+        except ValueError:
+            continue
+        return (found, order) if 0 <= found < DAYS else None
+    return None
+
+
+def valid(kind: str, m: re.Match) -> bool:
+    """Whether a match is a value of its kind."""
+    text = m[0]
+    if kind in ("iban", "card"):
+        return _checks(kind, text)
+    if kind == "ip":
+        return all(int(x) <= 255 and (x == "0" or x[0] != "0") for x in text.split("."))
+    if kind == "date":
+        return _day(m) is not None
+    if kind == "ssn":
+        area, group, serial = (int(x) for x in text.split("-"))
+        return 1 <= area <= 899 and area != 666 and bool(group) and bool(serial)
+    return True
+
+
 def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False, fits=lambda fresh: True) -> str | None:
     """The replacement of a match, or None where validation fails; of an IBAN or a card one that ``fits`` its place."""
     text = m[0]
+    if not valid(kind, m):
+        return None
     if kind == "email":
         local = m[1]
         fresh = _mixed(f, "email", local, back)
         return fresh + text[len(local) :]
     if kind == "iban":
-        if not _checks(kind, text):
-            return None
         flat = text.replace(" ", "")
         body = flat[4:]
         while True:
@@ -197,25 +225,10 @@ def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False, fits=lambd
                 return fresh
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
-        if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
-            return None
         x = f.permute("ip", int.from_bytes(bytes(octets), "big"), 1 << 32, back)
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "date":
-        year, month, day = (m[1], m[3], m[4]) if m[1] else (m[8], m[7], m[5])
-        order = "day first" if not m[1] else "year first"
-        try:
-            day_number = dt.date(int(year), int(month), int(day)).toordinal() - FIRST_DAY
-        except ValueError:
-            if m[1]:
-                return None
-            try:
-                day_number = dt.date(int(year), int(day), int(month)).toordinal() - FIRST_DAY
-                order = "month first"
-            except ValueError:
-                return None
-        if not 0 <= day_number < DAYS:
-            return None
+        day_number, order = _day(m)
         # Every day of a value written month first has to read as month first again: days over 12 only.
         while True:
             day_number = f.permute("date", day_number, DAYS, back)
@@ -229,8 +242,6 @@ def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False, fits=lambd
     digits = _digits(text)
     if kind == "ssn":
         area, group, serial = (int(x) for x in text.split("-"))
-        if not 1 <= area <= 899 or area == 666 or not group or not serial:
-            return None
         rank = area - 1 - (area > 666)
         x = f.permute("ssn", (rank * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, back)
         x, serial = divmod(x, 9999)
@@ -238,8 +249,6 @@ def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False, fits=lambd
         return f"{rank + 1 + (rank >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
         return _refill(text, digits[:-10] + _number(f, "phone", digits[-10:], back))
-    if not _checks(kind, text):
-        return None
     n = 10 ** (len(digits) - 2)  # the first digit tells the network and the last one checks
     tweak, x = f"card:{digits[0]}:{len(digits)}", int(digits[1:-1])
     while True:
@@ -253,21 +262,28 @@ def pseudonym(f: Feistel, kind: str, m: re.Match, back: bool = False, fits=lambd
 def find(text: str) -> list[tuple[int, int, str, re.Match, Callable[[str], bool]]]:
     """What is found, by place, and what tells whether a value fits there; of overlapping ones the earlier kind's."""
     out: list[tuple[int, int, str, re.Match, Callable[[str], bool]]] = []
-    probe = Feistel(b"")
+    taken: list[tuple[int, int]] = []  # in order; they don't overlap
+
+    def free(lo: int, hi: int) -> bool:
+        i = bisect.bisect_left(taken, (lo, lo))
+        return (i == 0 or taken[i - 1][1] <= lo) and (i == len(taken) or hi <= taken[i][0])
+
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
         if kind in ("iban", "card"):
-            at, taken = 0, [x[:2] for x in out]
-            while m := _read(kind, text, at, len(text), taken):
+            at, before = 0, list(taken)
+            while m := _read(kind, text, at, len(text), before):
                 lo, hi = m.span()
-                out.append((lo, hi, kind, m, _read_again(kind, text, at, lo, hi, taken)))
+                out.append((lo, hi, kind, m, _read_again(kind, text, at, lo, hi, before)))
+                bisect.insort(taken, (lo, hi))
                 at = hi
             continue
         for m in PATTERNS[kind].finditer(text):
             lo, hi = m.span()
-            if all(hi <= x[0] or x[1] <= lo for x in out) and pseudonym(probe, kind, m) is not None:
+            if free(lo, hi) and valid(kind, m):
                 out.append((lo, hi, kind, m, lambda fresh: True))
+                bisect.insort(taken, (lo, hi))
     return sorted(out, key=lambda x: x[:2])
 
 
@@ -285,8 +301,13 @@ def pseudonymize(text: str, f: Feistel, back: bool = False) -> tuple[str, list[t
     return "".join(parts) + text[at:], spans
 
 
-def protect(docs: DataFrame, key: bytes = b"lavra", id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
-    """doc_id, text (pseudonyms in place), spans ``kind:start:end`` in the input's code points, n_<kind> of each kind."""
+def protect(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """Needs a key of 16 bytes or more; whoever has it can turn the pseudonyms back.
+
+    doc_id, text (pseudonyms in place), spans ``kind:start:end`` in the input's code points, n_<kind> of each kind."""
+
+    if len(key) < 16:
+        raise ValueError("the key has to have 16 bytes or more")
 
     def run(batches):
         f = Feistel(key)
@@ -304,6 +325,6 @@ def protect(docs: DataFrame, key: bytes = b"lavra", id_col: str = "doc_id", text
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def restore(docs: DataFrame, key: bytes = b"lavra", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def restore(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverse of :func:`protect` for the same key."""
     return protect(docs, key, id_col, text_col, back=True)

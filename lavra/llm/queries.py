@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_bytes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with pseudonyms in place, and what was found."""
-    return pii.protect(documents(spark, sf_dir))
+    """Every document with pseudonyms in place, and what was found.
+
+    The key is the session's ``spark.lavra.pii.key`` (hex); without it a fresh one that nobody keeps.
+    """
+    key = spark.conf.get("spark.lavra.pii.key", None)
+    return pii.protect(documents(spark, sf_dir), bytes.fromhex(key) if key else token_bytes(32))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -82,3 +82,36 @@ def test_every_grade_enters_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     got = quality.labelled_sample(docs, docs, "quality", 21).groupBy("y").count().collect()
     assert {r["y"] for r in got} == set(range(21)) and max(r["count"] for r in got) <= 16
+
+
+def test_located_sentences_hold_half_the_mass():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 300):
+        for shift in (-6.0, -3.0, 0.0):
+            z = (rng.normal(size=n) + shift).tolist()
+            got, mass = toxicity.located(z), np.log1p(np.exp(np.array(z)))
+            assert {i for i, x in enumerate(z) if x >= 0} <= set(got) and got == sorted(got)
+            if 1 - np.exp(-mass.sum()) >= 0.5:
+                assert mass[got].sum() >= mass.sum() / 2 - 1e-9
+    assert toxicity.located([-2.0] * 10) == [0, 1, 2, 3, 4] and toxicity.located([-9.0]) == [] == toxicity.located([])
+
+
+def test_toxicity_query_against_plain_python(spark, sf):
+    """Scores and sentences of every row, recomputed from the model sentence by sentence."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, bias = toxicity.train(toxicity.labelled_sample(docs, labels, "toxic", 2_000))
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in op8_toxicity(spark, sf).collect():
+        clean, p = 1.0, []
+        for s in toxicity.SENTENCE.findall((text[r["doc_id"]] or "").lower()):
+            if ws := set(toxicity.WORD.findall(s)):
+                p.append(1 / (1 + np.exp(-np.clip(bias + sum(weights.get(f, 0.0) for w in ws for f in toxicity.features(w)), -500, 500))))
+                clean *= 1 - p[-1]
+        assert abs(r["score"] - (1 - clean)) < 1e-6 and r["n_sentences"] == len(p)
+        assert bool(r["offending"]) or r["score"] < 0.5
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000, i % 2) for i in range(300)], "doc_id long, text string, toxic int")
+    got = toxicity.labelled_sample(docs, docs, "toxic", 100, sample_mb=0.01).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in got} == {0: 10, 1: 10}

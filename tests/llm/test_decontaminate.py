@@ -109,3 +109,18 @@ def distance_full(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def test_short_items_match_word_for_word(spark):
+    docs = spark.createDataFrame([(1, "Zwei kurze, Wörter hier"), (2, "zwei Wörter kurze"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "kurze wörter"), (8, ""), (9, "ganz andere")], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in m.contamination(docs, items).collect()}
+    assert got == {1: [7], 2: [], 3: []}
+
+
+def test_without_calibration_every_window_is_verified(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "a b " + " ".join(words[:20] + ["x"] + words[21:]) + " c"), (2, " ".join(words[:20] + ["q"] * 20))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    monkeypatch.setattr(m, "calibrated", lambda *a: None)
+    assert {r["doc_id"]: r["item_ids"] for r in m.contamination(docs, items).collect()} == {1: [7], 2: []}

@@ -36,3 +36,21 @@ def test_directory_doubles_only_where_buckets_overflow():
     assert depth == 4 and (0, 1, 4) in buckets and (8, 16, 1) in buckets
     assert sum(hi - lo for lo, hi, _ in buckets) == 16
     assert m.grow_directory({}, 4, 5) == (0, [(0, 16, 0)])
+
+
+def test_keys_that_collide_are_chained(docs, rows):
+    """With only four keys every chain holds many texts; classes are still those of the bytes."""
+    from pyspark.sql import functions as F
+
+    few = lambda norm: F.shiftleft(F.pmod(F.xxhash64(norm), F.lit(4)), 62)
+    for options in ({}, {"capacity": 2, "max_depth": 4}):
+        assert sorted(map(tuple, m.exact_dedup(docs, key=few, **options).collect())) == brute([r[:2] for r in rows])
+
+
+def test_a_text_in_a_third_of_all_rows(spark):
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i // 2 * 2}", "r") for i in range(6000)] + [(None, "same  text", "r"), (None, "alone", "r"), (5, "other", "r")]
+    got = m.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    hot = [r for r in got if r["group_size"] > 1000]
+    assert len(hot) == 2001 and {r["keep_id"] for r in hot} == {None}  # the row with most code points has no id
+    assert [r["doc_id"] for r in hot if r["kept"]] == [None]
+    assert sum(r["kept"] for r in got) == len({t.replace(" ", "") for _, t, _ in rows})

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from lavra.llm import pii as m
 
 F = m.Feistel(b"k")
+KEY = b"sixteen bytes or more"
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
@@ -73,9 +74,9 @@ def test_what_runs_on_is_read_and_comes_back(before, value, after, kind):
 
 
 def test_table(docs, rows, empty):
-    out = m.protect(docs)
+    out = m.protect(docs, KEY)
     by = {r["doc_id"]: r for r in out.collect()}
-    assert out.count() == docs.count() and m.protect(empty).count() == 0
+    assert out.count() == docs.count() and m.protect(empty, KEY).count() == 0
     assert by[25]["n_email"] == by[25]["n_phone"] == by[25]["n_ip"] == by[25]["n_date"] == by[25]["n_card"] == 1
     assert by[26]["n_ssn"] == by[26]["n_iban"] == 1 and by[26]["n_card"] == by[26]["n_ip"] == by[26]["n_date"] == 0
     for secret in ("und.34@", "555-7713", "97.51.17.173", "2021-03-04", "4539 1488"):
@@ -83,12 +84,12 @@ def test_table(docs, rows, empty):
     for s in by[25]["spans"].split(","):
         kind, lo, hi = s.split(":")
         assert m.PATTERNS[kind].fullmatch(rows[25][1][int(lo) : int(hi)])
-    back = {r["doc_id"]: r["text"] for r in m.restore(out).collect()}
+    back = {r["doc_id"]: r["text"] for r in m.restore(out, KEY).collect()}
     assert all(back[i] == (t or "") for i, t, *_ in rows[:28])
 
 
 def test_given_data_comes_back(spark, sf, given):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = m.protect(docs)
-    assert {r["doc_id"]: r["text"] for r in m.restore(out).collect()} == dict(given)
+    out = m.protect(docs, KEY)
+    assert {r["doc_id"]: r["text"] for r in m.restore(out, KEY).collect()} == dict(given)
     assert out.where("n_email + n_phone + n_card + n_ip > 0").count() > 0
