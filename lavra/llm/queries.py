@@ -22,7 +22,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document with their piece ids, each decoded and compared with the text."""
-    return pieces.encode(documents(spark, sf_dir), k=2, alpha=0.5, layout=6 << 20)
+    return pieces.encode(documents(spark, sf_dir), k=2, alpha=0.5, layout=2 << 20)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
