@@ -119,6 +119,14 @@ def parse_label(text: Column, unit_heads: Column | None = None) -> Column:
     return let(stripped(unquoted(text)), lambda body: _label(body, quoted, unit_heads))
 
 
+def with_unit(label: Column, text: Column, head: Column) -> Column:
+    """A label parsed without unit series, once the line is known to belong to the series of ``head`` (null: to none)."""
+    body = stripped(unquoted(text))
+    is_unit = body.rlike(UNIT) & (stripped(fold(F.regexp_extract(body, UNIT, 1))) == head) & ~F.coalesce(label["kind"].isin("paragrafo", "artigo", *DIVISIONS), F.lit(False))
+    unit = _made("unit", F.array(F.regexp_extract(body, UNIT, 2).try_cast("int")), F.lit(""), opens_with_quote(text), None, head)
+    return F.when(F.coalesce(is_unit, F.lit(False)), unit).otherwise(label)
+
+
 def _made(kind, value, rest, quoted, separator=None, head=None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(

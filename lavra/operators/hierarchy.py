@@ -73,12 +73,10 @@ def candidates(analysed: DataFrame, section_patterns: tuple[str, ...] = (), unit
     declared: a heading the genre names; style: a style or outline level; top, sub: numbers of one or several
     components; series: any other label, which continues the open one of its ``series``.
     """
-    rows = analysed
+    rows, label = analysed, F.col("label")
     if units:
         rows = _in_unit_series(_unit_lines(rows))
-        label = L.parse_label(F.col("text"), F.when(F.col("unit_lines").isNotNull(), F.array("unit_head")).otherwise(F.array().cast("array<string>")))
-    else:
-        label = L.parse_label(F.col("text"))
+        label = L.with_unit(label, F.col("text"), F.when(F.col("unit_lines").isNotNull(), F.col("unit_head")))
     folded, declared = fold(L.stripped(F.col("text"))), F.lit(False)
     for p in section_patterns:
         declared = declared | folded.rlike(p)

@@ -78,7 +78,7 @@ def is_monotonic(values: Column) -> Column:
 
 
 def analyse(blocks: DataFrame) -> DataFrame:
-    """The non-empty blocks with is_article, article_no, monotonic, omissis, antecedent, in_band, rule and quoted."""
+    """The non-empty blocks with label, is_article, article_no, monotonic, omissis, antecedent, in_band, rule and quoted."""
     body = non_empty(blocks).join(quote_bands(blocks).select("doc_id", "rule", "band_low", "band_high"), "doc_id")
     text = F.col("text")
     body = body.withColumn("heading", L.is_style_heading(F.col("style"), F.col("outline_level"))).withColumn("article_no", L.article_number(text))
@@ -100,7 +100,8 @@ def analyse(blocks: DataFrame) -> DataFrame:
     weak = F.col("antecedent") & F.col("is_article") & ~F.col("monotonic")
     marked = numbered.withColumn("q1", ~F.col("heading") & (strong | weak))
     # excerpts without a band run on after a quoted article or elision until a structural label
-    label = L.parse_label(F.col("text"))
+    marked = marked.withColumn("label", L.parse_label(F.col("text")))
+    label = F.col("label")
     closes = F.col("heading") | F.coalesce(label["kind"].isin(*CLOSERS) | (label["kind"].isin("roman", "alpha", "compound") & L.looks_like_heading(label["rest"])), F.lit(False))
     event = F.when(F.col("q1"), F.when(F.col("is_article") | L.is_omissis(text), F.lit(1))).when(closes, F.lit(0))
     marked = marked.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(so_far()), F.lit(0)) == 1)
