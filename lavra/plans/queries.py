@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import articulation as statutes
-from ..operators import hierarchy, profiles, quotation, rendering, reports, routing, seams, segmentation, segments, xml
+from ..operators import hierarchy, parts, profiles, quotation, rendering, reports, routing, seams, segmentation, segments, xml
 from ..sources import readers
 from . import oracle as O
 from .corpus import LEGAL, PLACED, legal_blocks, page_blocks
@@ -273,6 +273,27 @@ def document_identity(spark, sf):
     return out.select("doc_id", "profile", "authority", "doc_type", "number", "urn", F.concat_ws(",", "missing").alias("missing"))
 
 
+def _parts(spark, sf):
+    blocks = legal_blocks(spark, sf)
+    known = profiles.identity(blocks).select("doc_id", "profile", "epigraph_idx")
+    return blocks, parts.parts(blocks, known, known)
+
+
+@query()
+def document_parts(spark, sf):
+    """Front matter, body, closing matter and annexes of every document, and what they hold."""
+    return _parts(spark, sf)[1]
+
+
+@query(f"WITH legal AS ({LEGAL}) SELECT doc_id, count(*) AS n_blocks FROM legal GROUP BY doc_id")
+def part_blocks(spark, sf):
+    """Blocks of each document that lie in some region or annex: all of them."""
+    blocks, found = _parts(spark, sf)
+    regions = found.where(F.col("part").isin("front", "body", "back", "annex"))
+    held = blocks.join(regions.select("doc_id", "first_idx", "last_idx"), "doc_id").where(F.col("idx").between(F.col("first_idx"), F.col("last_idx")))
+    return held.select("doc_id", "idx").distinct().groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+
+
 # --- tree and segments ---------------------------------------------------------------------
 
 def _outlines(spark, sf):
