@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import labels as L
 from ..functions.text import fold
+from .profiles import profiles
 from .quotation import analyse
 
 # Weights, limits, section kinds.
@@ -70,7 +71,7 @@ def unit_heads(blocks: DataFrame) -> DataFrame:
 def candidates(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True) -> DataFrame:
     """The blocks with ``form``: how a block could head a section (null: it can't), and what the walk needs to know.
 
-    declared: a heading the genre names; style: a style or outline level; top, sub: numbers of one or several
+    declared: a heading the genre names, by its patterns or a column ``declared``; style: a style or outline level; top, sub: numbers of one or several
     components; series: any other label, which continues the open one of its ``series``.
     """
     rows, label = analysed, F.col("label")
@@ -80,6 +81,8 @@ def candidates(analysed: DataFrame, section_patterns: tuple[str, ...] = (), unit
     folded, declared = fold(L.stripped(F.col("text"))), F.lit(False)
     for p in section_patterns:
         declared = declared | folded.rlike(p)
+    if "declared" in rows.columns:
+        declared = declared | F.coalesce("declared", F.lit(False))
     rows = rows.withColumn("label", label).withColumn("level", L.style_level(F.col("style"), F.col("outline_level")))
     kind, value, rest = F.col("label.kind"), F.col("label.value"), F.coalesce(L.stripped(F.col("label.rest")), F.lit(""))
     form = (
@@ -271,4 +274,23 @@ def tree_of(blocks: DataFrame, section_patterns: tuple[str, ...] = ()) -> DataFr
     return sections(outlines(analyse(blocks), section_patterns))
 
 
-__all__ = ["candidates", "document_confidence", "headers", "outlines", "own_text", "paragraphs", "sections", "tree_of", "unify", "unit_heads"]
+def forest(blocks: DataFrame, parts: DataFrame, genres: DataFrame) -> DataFrame:
+    """The outlines of :func:`outlines` for every body (annex 0) and every annex, which is a document of its own.
+
+    ``parts``: rows of ``parts.parts``; ``genres``: doc_id, profile, whose section names count in the body only.
+    The line that names an annex belongs to no tree. All passes run by (doc_id, annex), shuffled once.
+    """
+    regions = parts.where(F.col("part").isin("body", "annex")).select(
+        "doc_id", F.when(F.col("part") == "body", 0).otherwise(F.col("ord")).cast("long").alias("annex"), (F.col("first_idx") + (F.col("part") == "annex").cast("int")).alias("from"), F.col("last_idx").alias("to"),
+    )
+    named, folded = F.lit(False), fold(L.stripped(F.col("text")))
+    for p in profiles():
+        for pattern in p.sections:
+            named = named | ((F.col("profile") == p.name) & folded.rlike(pattern))
+    rows = blocks.join(regions, "doc_id").where(F.col("idx").between(F.col("from"), F.col("to"))).drop("from", "to").join(genres.select("doc_id", "profile"), "doc_id", "left")
+    rows = rows.withColumn("declared", F.coalesce(named & (F.col("annex") == 0), F.lit(False))).drop("profile")
+    keyed = rows.withColumn("doc_id", F.struct("doc_id", "annex")).drop("annex")
+    return outlines(analyse(keyed)).select("doc_id.doc_id", "doc_id.annex", "blocks", "hs", "n_sections", "confidence", "flat")
+
+
+__all__ = ["candidates", "document_confidence", "forest", "headers", "outlines", "own_text", "paragraphs", "sections", "tree_of", "unify", "unit_heads"]

@@ -294,6 +294,15 @@ def part_blocks(spark, sf):
     return held.select("doc_id", "idx").distinct().groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
 
 
+@query()
+def region_trees(spark, sf):
+    """Section trees of every body and, apart, of every annex."""
+    blocks = legal_blocks(spark, sf)
+    known = profiles.identity(blocks).select("doc_id", "profile", "epigraph_idx")
+    found = hierarchy.forest(blocks, parts.parts(blocks, known, known), known)
+    return found.select("doc_id", "annex", F.size("blocks").cast("long").alias("n_blocks"), "n_sections", "confidence", "flat")
+
+
 # --- tree and segments ---------------------------------------------------------------------
 
 def _outlines(spark, sf):
@@ -582,6 +591,13 @@ def html_blocks(spark, sf):
     return page_blocks(spark, sf).select("doc_id", "idx", "kind", "text", "style", "outline_level", "num_id", "ilvl", "error")
 
 
+@query()
+def html_inline_xml(spark, sf):
+    """Every paragraph of the pages with its formatting and links."""
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
+    return readers.html_runs(pages).select("doc_id", "idx", rendering.render_inlines(F.col("runs")).alias("xml"))
+
+
 @query()
 def html_outline(spark, sf):
     """Sections of the pages by their heading levels."""

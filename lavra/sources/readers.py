@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.seams import merged_runs
+
 BLOCK = "kind string, text string, style string, outline_level int, num_id string, ilvl int, indent_direct int, indent_effective int"
 TWIPS_PER_BLANK, TAB = 180, 4
 LAYOUT_WINDOW = 12
@@ -56,6 +58,10 @@ _UNITS = {"pt": 20.0, "": 20.0, "pc": 240.0, "in": 1440.0, "cm": 1440 / 2.54, "m
 _HIDDEN = {"script", "style", "head", "noscript", "template", "title"}
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "blockquote", "pre", "address", "figure", "figcaption", "dl", "dt", "dd", "body", "html", "center", "form", "fieldset"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+# The mark an inline element sets.
+_INLINE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "cite": "italic", "dfn": "italic", "var": "italic", "sup": "sup", "sub": "sub", "a": "href"}
+MARKS = ("bold", "italic", "sup", "sub")
+RUNS = "array<struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean,href:string>>"
 
 
 def css_indent(style: str | None) -> int | None:
@@ -136,8 +142,42 @@ class _Html(html.parser.HTMLParser):
             self.text.append(data)
 
 
-def html_items(markup: str | bytes | None) -> list[dict]:
-    parser = _Html()
+class _MarkedHtml(_Html):
+    """The same walk, each paragraph with its runs: what its text looked like, piece by piece."""
+
+    def __init__(self):
+        super().__init__()
+        self.inline: list[tuple[str, str | None]] = []
+        self.pieces: list[dict] = []
+
+    def flush(self):
+        pieces, self.pieces, n = self.pieces, [], len(self.out)
+        super().flush()
+        if len(self.out) > n:
+            self.out[-1]["runs"] = pieces
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        if tag in _INLINE:
+            self.inline.append((tag, dict(attrs).get("href")))
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        at = next((i for i in reversed(range(len(self.inline))) if self.inline[i][0] == tag), None)
+        if at is not None:
+            del self.inline[at]
+
+    def handle_data(self, data):
+        n = len(self.text)
+        super().handle_data(data)
+        if len(self.text) > n and not self.table:
+            marks = {_INLINE[t] for t, _ in self.inline}
+            href = next((h for t, h in reversed(self.inline) if t == "a" and h), None)
+            self.pieces.append({"text": unicodedata.normalize("NFC", data), **{m: m in marks for m in MARKS}, "href": href})
+
+
+def html_items(markup: str | bytes | None, walk: type[_Html] = _Html) -> list[dict]:
+    parser = walk()
     parser.feed(decode(markup) if isinstance(markup, bytes) else markup or "")
     parser.close()
     parser.flush()
@@ -156,6 +196,7 @@ def decode(data: bytes) -> str:
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def _value(element, path: str, name: str = "val") -> str | None:
@@ -194,32 +235,59 @@ class _Styles:
         return None
 
 
-def _lines(paragraph) -> list[str]:
-    """The text of a paragraph, parted at line breaks; struck and deleted runs go."""
-    lines = [""]
+def _on(props, *names: str) -> bool:
+    return props is not None and any((e := props.find(_W + k)) is not None and e.get(_W + "val") not in ("0", "false", "off") for k in names)
+
+
+def _character(x) -> str:
+    """What an element of a run adds to its text."""
+    tag = x.tag.removeprefix(_W)
+    if tag == "t":
+        return x.text or ""
+    if tag == "sym" and x.get(_W + "char"):
+        return chr(int(x.get(_W + "char"), 16))
+    return {"tab": " ", "noBreakHyphen": "-"}.get(tag, "")
+
+
+def _run_lines(paragraph, targets: dict[str, str]) -> list[list[dict]]:
+    """The runs of a paragraph, parted at line breaks; struck and deleted runs go. ``targets``: links by relationship."""
+    links = {run: targets.get(h.get(_R + "id")) or (f"#{h.get(_W + 'anchor')}" if h.get(_W + "anchor") else None) for h in paragraph.iter(_W + "hyperlink") for run in h.iter(_W + "r")}
+    lines: list[list[dict]] = [[]]
     for run in paragraph.iter(_W + "r"):
         props = run.find(_W + "rPr")
-        if props is not None and any((e := props.find(_W + k)) is not None and e.get(_W + "val") not in ("0", "false", "off") for k in ("strike", "dstrike")):
+        if _on(props, "strike", "dstrike"):
             continue
+        raised = _value(props, "w:vertAlign")
+        marks = {"bold": _on(props, "b"), "italic": _on(props, "i"), "sup": raised == "superscript", "sub": raised == "subscript", "href": links.get(run)}
+        text = ""
         for x in run:
-            tag = x.tag.removeprefix(_W)
-            if tag == "t":
-                lines[-1] += x.text or ""
-            elif tag == "tab":
-                lines[-1] += " "
-            elif tag == "noBreakHyphen":
-                lines[-1] += "-"
-            elif tag == "sym" and x.get(_W + "char"):
-                lines[-1] += chr(int(x.get(_W + "char"), 16))
-            elif tag == "cr" or (tag == "br" and x.get(_W + "type") in (None, "textWrapping")):
-                lines.append("")
-    return [clean(x) for x in lines]
+            text += _character(x)
+            if x.tag == _W + "cr" or (x.tag == _W + "br" and x.get(_W + "type") in (None, "textWrapping")):
+                lines[-1].append({"text": text, **marks})
+                lines.append([])
+                text = ""
+        lines[-1].append({"text": text, **marks})
+    return [[{**r, "text": unicodedata.normalize("NFC", r["text"])} for r in line if r["text"]] for line in lines]
+
+
+def _line(runs: list[dict]) -> str:
+    return clean("".join(r["text"] for r in runs))
+
+
+def _lines(paragraph) -> list[str]:
+    return [_line(runs) for runs in _run_lines(paragraph, {})]
+
+
+def _targets(archive: zipfile.ZipFile) -> dict[str, str]:
+    name = "word/_rels/document.xml.rels"
+    return {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read(name))} if name in archive.namelist() else {}
 
 
 def docx_items(data: bytes) -> list[dict]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(_W + "body")
         styles = _Styles(ElementTree.fromstring(archive.read("word/styles.xml")) if "word/styles.xml" in archive.namelist() else None)
+        targets = _targets(archive)
     out = []
     for element in body if body is not None else ():
         if element.tag == _W + "tbl":
@@ -233,9 +301,9 @@ def docx_items(data: bytes) -> list[dict]:
                 inherited = styles.inherited(style, _indent)
                 outline = outline if outline is not None else styles.inherited(style, lambda e: _number(_value(e, "w:outlineLvl")))
                 effective = next((x for x in (direct, inherited, styles.base) if x is not None), 0)
-                for line in _lines(p):
+                for runs in _run_lines(p, targets):
                     out.append({
-                        **ITEM, "text": line, "style": styles.name(style), "outline_level": outline if outline is not None and outline < 9 else None,
+                        **ITEM, "text": _line(runs), "runs": runs, "style": styles.name(style), "outline_level": outline if outline is not None and outline < 9 else None,
                         "num_id": _value(ppr, "w:numPr/w:numId"), "ilvl": _number(_value(ppr, "w:numPr/w:ilvl")), "indent_direct": direct, "indent_effective": effective,
                     })
     return out
@@ -285,6 +353,32 @@ def docx_blocks(files: DataFrame) -> DataFrame:
     return _read_by("docx", lambda data: unwrap_layout(docx_items(bytes(data))))(files.select("doc_id", "content"))
 
 
+def _runs_by(kind: str, parse):
+    """doc_id, idx, runs of the paragraphs parsed, runs of one formatting merged; a file that can't be read has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                try:
+                    rows += [(doc, i, x["runs"]) for i, x in enumerate(parse(content)) if x.get("runs")]
+                except Exception:  # reported by the blocks of the same file
+                    continue
+            yield pd.DataFrame(rows, columns=["doc_id", "idx", "runs"])
+
+    return lambda df: df.mapInPandas(run, f"doc_id long, idx long, runs {RUNS}").withColumn("runs", merged_runs(F.col("runs")))
+
+
+def html_runs(pages: DataFrame) -> DataFrame:
+    """The runs of :func:`html_blocks`, by doc_id and idx; tables have none."""
+    return _runs_by("html", lambda x: html_items(x, _MarkedHtml))(pages.select("doc_id", "content"))
+
+
+def docx_runs(files: DataFrame) -> DataFrame:
+    """The runs of :func:`docx_blocks`, by doc_id and idx; tables have none."""
+    return _runs_by("docx", lambda data: unwrap_layout(docx_items(bytes(data))))(files.select("doc_id", "content"))
+
+
 def corpus_files(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
     """doc_id, path, suffix, content, error of every file below the paths, once each, in path order.
 

@@ -73,3 +73,25 @@ def test_court_cover_and_service(spark):
     assert (by[2]["doc_type"], by[2]["number"], by[2]["authority"], by[2]["date_source"]) == ("recurso.extraordinario", "12", None, "cover")
     assert by[3]["number_source"] != "cover" and by[4]["number"] == "7" and by[4]["number_source"] == "epigraph"
     assert (by[5]["profile"], by[5]["number"], by[5]["number_source"]) == ("servico", "carne.leao", "service-name")
+
+
+def test_bodies_and_annexes_have_trees_of_their_own(spark, sf):
+    from lavra.operators import hierarchy
+    from lavra.plans import queries
+
+    texts = {
+        1: ("portaria", ["PORTARIA nº 1", "1. RELATÓRIO", "texto", "2. FUNDAMENTOS", "texto", "3. CONCLUSÃO", "ANEXO I", "1. ALFA", "x", "2. BETA", "y", "ANEXO II", "sem título"]),
+        2: ("solucao_consulta", ["Relatório", "texto", "Fundamentos", "texto", "Conclusão", "texto"]),
+        3: ("parecer", ["Relatório", "texto", "Fundamentos", "texto", "Conclusão", "texto"]),  # names that only the other genre declares
+    }
+    none = "null as style, cast(null as int) as outline_level, cast(null as int) as indent_direct, 0 as indent_effective"
+    blocks = spark.createDataFrame([(d, i, t) for d, (_, ts) in texts.items() for i, t in enumerate(ts)], "doc_id long, idx long, text string").selectExpr("*", *none.split(", "))
+    genres = spark.createDataFrame([(d, g, None) for d, (g, _) in texts.items()], "doc_id long, profile string, epigraph_idx long")
+    spans = spark.createDataFrame([(1, "body", 1, 1, 5), (1, "annex", 1, 6, 10), (1, "annex", 2, 11, 12), (2, "body", 1, 0, 5), (3, "body", 1, 0, 5)], "doc_id long, part string, ord long, first_idx long, last_idx long")
+    got = {(r["doc_id"], r["annex"]): ([b["idx"] for b in r["blocks"]], [h["heading"] for h in r["hs"]]) for r in hierarchy.forest(blocks, spans, genres).collect()}
+    assert got == {
+        (1, 0): ([1, 2, 3, 4, 5], ["RELATÓRIO", "FUNDAMENTOS", "CONCLUSÃO"]), (1, 1): ([7, 8, 9, 10], ["ALFA", "BETA"]), (1, 2): ([12], []),
+        (2, 0): ([0, 1, 2, 3, 4, 5], ["Relatório", "Fundamentos", "Conclusão"]), (3, 0): ([0, 1, 2, 3, 4, 5], []),
+    }
+    rows = queries.region_trees(spark, sf).collect()
+    assert len({(r["doc_id"], r["annex"]) for r in rows}) == len(rows) and any(r["annex"] for r in rows)
