@@ -23,10 +23,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import labels as L
 from ..functions.text import fold
 from .profiles import profiles
-from .quotation import analyse
+from .quotation import analyse, in_order
+from .reports import adjudicate
+from .seams import question_key
 
 # Weights, limits, section kinds.
 W_STYLE, W_SERIES, W_UNIT, W_SOLO, W_DECLARED = 0.9, 0.85, 0.8, 0.25, 0.8
+RULE_PROSE = 0.55  # how sure the rule is that a line without label or style is no heading
 SIBLING_GAP, MIN_RUN, MIN_SERIES, FULL_SECTIONS, FLAT_BELOW = 3, 4, 3, 3, 0.5
 SEQUENCES = ("roman", "alpha", "compound", "ordinal")
 BY_DEPTH = ("secao", "subsecao", "item")
@@ -274,6 +277,23 @@ def tree_of(blocks: DataFrame, section_patterns: tuple[str, ...] = ()) -> DataFr
     return sections(outlines(analyse(blocks), section_patterns))
 
 
+def prose_headers(analysed: DataFrame, answers: DataFrame | None, model: str) -> DataFrame:
+    """Adds ``declared``: unlabelled, unstyled lines that look like headings and that a referee's filed answer confirms.
+
+    A line nobody confirmed is no heading, so without answers there are none. Those declared before stay.
+    """
+    known = F.coalesce("declared", F.lit(False)) if "declared" in analysed.columns else F.lit(False)
+    if answers is None:
+        return analysed.withColumn("declared", known)
+    text = L.stripped(F.col("text"))
+    shown = [F.coalesce(f(text).over(in_order()), F.lit("")) for f in (F.lag, F.lead)]
+    key = question_key(F.lit(model), F.lit("heading"), text, *shown)
+    asked = analysed.select("doc_id", "idx", key.alias("key"), L.is_prose_header(F.col("text"), F.col("style"), F.col("outline_level"), F.col("quoted")).alias("asked")).where("asked")
+    questions = asked.select("doc_id", "idx", "key", F.lit("heading").alias("kind"), F.lit("nao").alias("rule_verdict"), F.lit(RULE_PROSE).alias("rule_confidence"))
+    said = adjudicate(questions, answers.dropDuplicates(["key"])).where(F.col("final") == "secao").select("doc_id", "idx", F.lit(True).alias("said"))
+    return analysed.withColumn("declared", known).join(said, ["doc_id", "idx"], "left").withColumn("declared", F.col("declared") | F.coalesce("said", F.lit(False))).drop("said")
+
+
 def forest(blocks: DataFrame, parts: DataFrame, genres: DataFrame) -> DataFrame:
     """The outlines of :func:`outlines` for every body (annex 0) and every annex, which is a document of its own.
 
@@ -293,4 +313,4 @@ def forest(blocks: DataFrame, parts: DataFrame, genres: DataFrame) -> DataFrame:
     return outlines(analyse(keyed)).select("doc_id.doc_id", "doc_id.annex", "blocks", "hs", "n_sections", "confidence", "flat")
 
 
-__all__ = ["candidates", "document_confidence", "forest", "headers", "outlines", "own_text", "paragraphs", "sections", "tree_of", "unify", "unit_heads"]
+__all__ = ["candidates", "document_confidence", "forest", "headers", "outlines", "own_text", "paragraphs", "prose_headers", "sections", "tree_of", "unify", "unit_heads"]

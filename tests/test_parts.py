@@ -95,3 +95,20 @@ def test_bodies_and_annexes_have_trees_of_their_own(spark, sf):
     }
     rows = queries.region_trees(spark, sf).collect()
     assert len({(r["doc_id"], r["annex"]) for r in rows}) == len(rows) and any(r["annex"] for r in rows)
+
+
+def test_prose_headers_need_an_answer(spark):
+    from lavra.operators import hierarchy, quotation, seams
+
+    texts = ["abertura do texto", "DOS FATOS", "corpo do texto", "DO DIREITO", "mais texto", "1. NUMERADO"]
+    none = "null as style, cast(null as int) as outline_level, cast(null as int) as indent_direct, 0 as indent_effective"
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, idx long, text string").selectExpr("*", *none.split(", "))
+    asked = [("abertura do texto", "", "DOS FATOS", "secao", 0.9), ("DOS FATOS", "abertura do texto", "corpo do texto", "secao", 0.9),
+             ("DO DIREITO", "corpo do texto", "mais texto", "secao", 0.3), ("1. NUMERADO", "mais texto", "", "secao", 0.9)]
+    filed = spark.createDataFrame(asked, "e string, b string, a string, verdict string, confidence double")
+    answers = filed.select(seams.question_key(*map(F.lit, ("m", "heading")), F.col("e"), F.col("b"), F.col("a")).alias("key"), "verdict", "confidence")
+    analysed = quotation.analyse(blocks)
+    declared = lambda a: [r["idx"] for r in hierarchy.prose_headers(analysed, a, "m").where("declared").collect()]
+    assert declared(answers.union(answers)) == [1]  # prose is never asked about, an unsure answer doesn't count, a label is none
+    assert declared(None) == []
+    assert [h["heading"] for h in hierarchy.headers(hierarchy.outlines(hierarchy.prose_headers(analysed, answers, "m"))).collect()] == ["DOS FATOS"]
