@@ -7,7 +7,7 @@ from secrets import token_bytes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, pieces, pii, quality, secrets, simhash, suffix_dedup, toxicity
+from . import chat, codes, decontaminate, exact_dedup, pieces, pii, quality, secrets, simhash, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -69,8 +69,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(documents(spark, sf_dir), bytes.fromhex(key) if key else token_bytes(32))
 
 
+def op12_norm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all whole and finite vectors, 16 parts of 64 entries each, with their errors."""
+    return codes.compress(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_sentencepiece, op3_secrets, op4_chat, op5_simhash, op6_quality, op7_exact_dedup, op8_toxicity, op9_suffix_dedup, op10_pii,
+    op12_norm_codes,
 )}
 
 ORACLES = {
@@ -109,4 +115,49 @@ ORACLES = {
         FROM texts
         WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
+    "op12_norm_codes": r"""
+        WITH kept AS (
+          SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cut AS (
+          SELECT r, p, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding[p * len(embedding) // 16 + 1 : (p + 1) * len(embedding) // 16]] AS v
+          FROM kept, range(16) t(p)
+        ), book0 AS (
+          SELECT p, r - 1 AS e, v FROM cut WHERE r <= 64
+        ), near0 AS (
+          SELECT r, x.p, any_value(x.v) AS v, arg_min(e, far) AS e, min(far) AS far FROM (
+            SELECT x.r, x.p, x.v, b.e, list_sum([(x.v[i] - b.v[i]) * (x.v[i] - b.v[i]) for i in range(1, len(x.v) + 1)]) * 64 + b.e AS far
+            FROM cut x JOIN book0 b ON x.p = b.p
+          ) x GROUP BY r, x.p
+        ), mean0 AS (
+          SELECT p, e, list(m ORDER BY i) AS v FROM (
+            SELECT p, e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM near0) GROUP BY p, e, i
+          ) GROUP BY p, e
+        ), book1 AS (
+          SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book0 b LEFT JOIN mean0 m ON b.p = m.p AND b.e = m.e
+        ), near1 AS (
+          SELECT r, x.p, any_value(x.v) AS v, arg_min(e, far) AS e, min(far) AS far FROM (
+            SELECT x.r, x.p, x.v, b.e, list_sum([(x.v[i] - b.v[i]) * (x.v[i] - b.v[i]) for i in range(1, len(x.v) + 1)]) * 64 + b.e AS far
+            FROM cut x JOIN book1 b ON x.p = b.p
+          ) x GROUP BY r, x.p
+        ), mean1 AS (
+          SELECT p, e, list(m ORDER BY i) AS v FROM (
+            SELECT p, e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM near1) GROUP BY p, e, i
+          ) GROUP BY p, e
+        ), book2 AS (
+          SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book1 b LEFT JOIN mean1 m ON b.p = m.p AND b.e = m.e
+        ), near2 AS (
+          SELECT r, x.p, any_value(x.v) AS v, arg_min(e, far) AS e, min(far) AS far FROM (
+            SELECT x.r, x.p, x.v, b.e, list_sum([(x.v[i] - b.v[i]) * (x.v[i] - b.v[i]) for i in range(1, len(x.v) + 1)]) * 64 + b.e AS far
+            FROM cut x JOIN book2 b ON x.p = b.p
+          ) x GROUP BY r, x.p
+        ), coded AS (
+          SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far // 64) AS BIGINT) AS error FROM near2 GROUP BY r
+        ), said AS (
+          SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+          FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM book2)
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (r), said
+    """,
 }
