@@ -7,7 +7,7 @@ from secrets import token_bytes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, exact_dedup, pieces, pii, quality, secrets, simhash, suffix_dedup, toxicity
+from . import bpe, chat, codes, decontaminate, exact_dedup, pieces, pii, quality, secrets, simhash, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -74,9 +74,21 @@ def op12_norm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded by the 50k byte-level vocabulary, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return found.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_sentencepiece, op3_secrets, op4_chat, op5_simhash, op6_quality, op7_exact_dedup, op8_toxicity, op9_suffix_dedup, op10_pii,
-    op12_norm_codes,
+    op12_norm_codes, op13_bpe_trie,
 )}
 
 ORACLES = {
