@@ -7,7 +7,7 @@ from secrets import token_bytes
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, decontaminate, exact_dedup, pieces, pii, quality, secrets, simhash, suffix_dedup, toxicity
+from . import bpe, chat, codes, decontaminate, exact_dedup, pieces, pii, quality, secrets, simhash, suffix_dedup, tiered, toxicity
 from .common import documents
 
 
@@ -69,6 +69,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(documents(spark, sf_dir), bytes.fromhex(key) if key else token_bytes(32))
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return tiered.search(tiered.build(documents(spark, sf_dir)), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_norm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all whole and finite vectors, 16 parts of 64 entries each, with their errors."""
     return codes.compress(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -88,7 +93,7 @@ def op13_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_sentencepiece, op3_secrets, op4_chat, op5_simhash, op6_quality, op7_exact_dedup, op8_toxicity, op9_suffix_dedup, op10_pii,
-    op12_norm_codes, op13_bpe_trie,
+    op11_tiered_search, op12_norm_codes, op13_bpe_trie,
 )}
 
 ORACLES = {
@@ -127,6 +132,30 @@ ORACLES = {
         FROM texts
         WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
+    "op11_tiered_search": r"""
+        WITH cut AS (
+          SELECT row_number() OVER () AS doc, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents
+        ), sizes AS (
+          SELECT doc, doc_id, len(terms) AS n, count(*) OVER () AS all_docs, sum(len(terms)) OVER () AS all_terms FROM cut WHERE len(terms) > 0
+        ), lengths AS (
+          SELECT doc, doc_id, all_docs, CAST(10 + (90 * n * all_docs) // all_terms AS BIGINT) AS m FROM sizes
+        ), counts AS (
+          SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM cut) GROUP BY doc, term
+        ), weights AS (
+          SELECT term, CAST(floor(1000 * ln((2 * (SELECT max(all_docs) FROM lengths) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts GROUP BY term
+        ), items AS (
+          SELECT DISTINCT item, item_id, term FROM (
+            SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+        ), scores AS (
+          SELECT item, item_id, doc, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+          FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc) GROUP BY item, item_id, doc, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, doc) AS INTEGER) AS rank, doc_id, score FROM scores
+        WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op12_norm_codes": r"""
         WITH kept AS (
           SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings

@@ -7,6 +7,7 @@ import struct
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lavra.llm import bpe
@@ -123,7 +124,7 @@ def test_bounds_change_nothing(vocabulary, library, monkeypatch):
 
 def test_documents_of_every_kind(spark, docs, rows, library):
     encoded = bpe.encode(docs, PATH)
-    found = bpe.decode(encoded, PATH).withColumn("listed", bpe.token_ids(encoded["ids"])).collect()
+    found = bpe.decode(encoded, PATH).withColumn("listed", bpe.token_ids(F.col("ids"))).collect()
     got = sorted((r.doc_id, r.listed, r.decoded) for r in found)
     want = sorted((r[0], library.encode(r[1] or "", add_special_tokens=False).ids, r[1] or "") for r in rows)
     assert got == want
