@@ -276,7 +276,7 @@ def document_identity(spark, sf):
 def _parts(spark, sf):
     blocks = legal_blocks(spark, sf)
     known = profiles.identity(blocks).select("doc_id", "profile", "epigraph_idx")
-    return blocks, parts.parts(blocks, known, known)
+    return blocks, parts.parts(blocks, known)
 
 
 @query()
