@@ -2,9 +2,10 @@
 
 Any prefix of a word has an encoding of its own, and the encoding of the word is determined by the last token
 of each of its prefixes: if the last token of a prefix is t, what comes before t is encoded as the prefix without
-t is. So the distinct words of many documents go into one trie, and a depth-first walk works out the last token of
-every node once, whatever the number of words that share it: of the tokens that end there, longest first, the one
-that may follow the last token of the node where it starts. Two tokens may follow one another if merging their
+t is. So the distinct words of many documents make one trie, and a depth-first walk works out the last token of
+every node once, whatever the number of words that share it: of the tokens that end there, the one that may follow
+the last token of the node where it starts. Where tokens can have begun is handed down with it. Sorted words are
+the trie in depth-first order, each a branch from the one before, so its nodes are never held all at once. Two tokens may follow one another if merging their
 joined bytes gives just these two; that is decided by undoing their merges from the latest back, and failing if
 the bytes at the seam would have merged before. A word's ids are read off from its node upwards.
 
@@ -12,8 +13,8 @@ Texts are first cut at the added tokens, then into words as the tokenizer's file
 Unicode version of ``regex``; texts with code points that version knows and the tokenizer's may not (unassigned in
 Python's own table) are cut by the tokenizers library, so words are always its words. The merges are done here.
 
-Memory in a task: the words of ``SLICE`` characters of text (a longer text is taken in runs of ``RUN`` words), a trie of
-``NODES`` nodes (more words take more tries), and words kept from earlier slices up to ``KEPT_BYTES``. No shuffle, nothing is written or sent to the driver.
+Memory in a task: the words of ``SLICE`` characters of text (a longer text is taken in runs of ``RUN`` words), the path to
+one node of their trie, and words kept from earlier slices, two generations of ``KEPT_BYTES`` each. No shuffle, nothing is written or sent to the driver.
 
 Defined results: null is the empty text, which has no tokens; repeated rows are encoded alike; other columns are
 ignored, whatever their names; an empty table gives no rows. Files whose model is not plain byte-level BPE are refused.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-SLICE, RUN, NODES, KEPT_BYTES, KEPT_PAIRS = 2 << 20, 200_000, 200_000, 16 << 20, 1 << 20
+SLICE, RUN, DEEP, KEPT_BYTES, KEPT_PAIRS, ROWS = 1 << 20, 100_000, 1_000, 20 << 20, 1 << 17, 500
 
 #: Fixed: how the byte-level pre-tokenizer cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,32 +49,32 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-class Trie:
-    """Words by their bytes; of each node its children, some word that passes it, and whether a word ends there."""
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
-    def __init__(self):
-        self.children: list[dict[int, int]] = [{}]
-        self.through, self.ends = [b""], bytearray(1)
 
-    def insert(self, word: bytes) -> None:
-        node = 0
-        for byte in word:
-            below = self.children[node].get(byte)
-            if below is None:
-                below = self.children[node][byte] = len(self.children)
-                self.children.append({})
-                self.through.append(word)
-                self.ends.append(0)
-            node = below
-        self.ends[node] = 1
+def branches(words: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
+    """A trie of the distinct words in depth-first order: each word with the depth at which its branch leaves the one before.
+
+    What a word shares with its predecessor is the path of nodes already walked; the rest are its own new nodes.
+    """
+    before = b""
+    for word in sorted(set(words)):
+        shared = len(before)
+        if not word.startswith(before):
+            shared = 0
+            while before[shared] == word[shared]:
+                shared += 1
+        yield word, shared
+        before = word
 
 
 class Vocabulary:
     """Tokens and merges of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+        file = _file(path)
         model, pre = file["model"], file["pre_tokenizer"]
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
         flags = [a["content"] for a in file["added_tokens"] if a["single_word"] or a["lstrip"] or a["rstrip"]]
@@ -96,7 +97,9 @@ class Vocabulary:
                 self.halves[token] = (rank, left, right)
                 usable.add(token)
         self.ids = {b: i for b, i in ids.items() if i in usable}
-        self.longest = max(map(len, self.ids))
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
+        #: every beginning of a token, with the token's id if it is one, else -1
+        self.prefixes = {b[:k]: -1 for b in self.ids for k in range(1, len(b))} | self.ids
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def _stay_apart(self, a: int, b: int, before: float = float("inf")) -> bool:
@@ -122,51 +125,42 @@ class Vocabulary:
             known = self._pairs[a, b] = self._stay_apart(a, b)
         return known
 
-    def last_token(self, word: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``word[:end]``, given those of its shorter prefixes."""
-        ids = self.ids
-        for start in range(max(0, end - self.longest), end):
-            token = ids.get(word[start:end])
-            if token is not None and (not start or self.may_follow(last[start], token)):
-                return token
-        raise AssertionError("a single byte always fits somewhere")
-
-    def _ids_up_to(self, end: int, last: list[int]) -> list[int]:
-        out = []
-        while end:
-            out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
-        return out[::-1]
-
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """(word, ids) of every word, each distinct one once, by depth-first walks over tries of at most about ``NODES`` nodes.
+        """(word, ids) of every distinct word, by one depth-first walk over their trie.
 
-        A word longer than that shares nothing: its own prefixes are walked.
+        For each node on the present path: the last token of its prefix, and where tokens may have begun that go on below
+        it. The latter are kept to depth ``DEEP``; words that share more are walked again from there.
         """
-        trie = Trie()
-        for word in sorted(set(words)):  # neighbours share most
-            if len(word) > NODES:
-                last = [-1]
-                for end in range(1, len(word) + 1):
-                    last.append(self.last_token(word, end, last))
-                yield word, self._ids_up_to(len(word), last)
-                continue
-            if len(trie.through) > NODES:
-                yield from self._walk(trie)
-                trie = Trie()
-            trie.insert(word)
-        yield from self._walk(trie)
-
-    def _walk(self, trie: Trie) -> Iterator[tuple[bytes, list[int]]]:
-        last, stack = [-1], [(n, 1) for n in trie.children[0].values()]
-        while stack:
-            node, depth = stack.pop()
-            word = trie.through[node]
-            del last[depth:]  # what is left is the path down to the node's parent
-            last.append(self.last_token(word, depth, last))
-            if trie.ends[node]:
-                yield word[:depth], self._ids_up_to(depth, last)
-            stack.extend((n, depth + 1) for n in trie.children[node].values())
+        last, open_ = [-1], [[]]
+        for word, shared in branches(words):
+            shared = min(shared, len(open_) - 1)
+            del last[shared + 1 :], open_[shared + 1 :]
+            begun = open_[shared]
+            for end in range(shared + 1, len(word) + 1):
+                begun, token = self.step(word, end, begun, last)
+                last.append(token)
+                if end <= DEEP:
+                    open_.append(begun)
+            out, end, size = [], len(word), self.size
+            while end:
+                out.append(last[end])
+                end -= size[last[end]]
+            yield word, out[::-1]
+
+    def step(self, word: bytes, end: int, begun: list[int], last: list[int]) -> tuple[list[int], int]:
+        """Of the starts ``begun`` above the node ``word[:end]`` and the one at it, those still open; and the node's last token."""
+        starts: list[int] = []
+        found = -1
+        prefixes, pairs = self.prefixes, self._pairs
+        for start in (*begun, end - 1):  # the longest first
+            token = prefixes.get(word[start:end])
+            if token is not None:
+                starts.append(start)
+                if token >= 0 and found < 0:
+                    fits = not start or pairs.get((last[start], token))
+                    if fits or (fits is None and self.may_follow(last[start], token)):
+                        found = token
+        return starts, found
 
 
 class Encoder:
@@ -176,7 +170,9 @@ class Encoder:
         self.vocabulary, self.words = vocabulary, regex.compile(WORDS)
         self.at_added = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before
         self.kept_bytes, self._foreign = 0, {}
+        self.packed = {i: i.to_bytes(4, "little") for i in vocabulary.bytes_of}
 
     def _has_foreign(self, text: str) -> bool:
         if text.isascii():
@@ -189,48 +185,74 @@ class Encoder:
                 return True
         return False
 
-    def _cut(self, text: str) -> Iterator[list[str]]:
-        """Runs of words of a text without added tokens."""
+    def _units(self, text: str) -> list[str]:
+        """Stretches of the text that are cut into words each by itself.
+
+        A single blank between two other characters that aren't white space begins a word whatever comes before it,
+        so a stretch may begin there; most are one word with its blank.
+        """
+        pieces = text.split(" ")
+        out = [pieces[0]]
+        open_ = not pieces[0] or pieces[0][-1].isspace()  # what comes before the blank joins on to it
+        for i, piece in enumerate(pieces[1:]):
+            if not piece:
+                out[-1] += " "
+                open_ = True
+            else:
+                if (open_ and (i or out[0])) or piece[0].isspace():
+                    out[-1] += " " + piece
+                else:
+                    out.append(" " + piece)
+                open_ = piece[-1].isspace()
+        return out
+
+    def _runs(self, text: str) -> Iterator[list[str] | bytes]:
+        """Units of the text, and the ids of what is no unit (added tokens, words of the library), in order."""
+        at = 0
+        for m in self.at_added.finditer(text) if self.at_added else ():
+            yield from self._between(text[at : m.start()])
+            yield self.packed[self.vocabulary.added[m.group()]]
+            at = m.end()
+        yield from self._between(text[at:] if at else text)
+
+    def _between(self, text: str) -> Iterator[list[str] | bytes]:
         if self._has_foreign(text):
-            yield [text[a:b] for _, (a, b) in _library(self.vocabulary.path).pre_tokenizer.pre_tokenize_str(text)]
+            yield self._join([text[a:b] for _, (a, b) in _library(self.vocabulary.path).pre_tokenizer.pre_tokenize_str(text)])
         elif len(text) <= SLICE:
-            yield self.words.findall(text)
+            yield self._units(text)
         else:
             found = (m.group() for m in self.words.finditer(text))
             while run := list(islice(found, RUN)):
-                yield run
-
-    def _runs(self, text: str) -> Iterator[list[str] | bytes]:
-        """Runs of words, and the ids of the added tokens between them, in order."""
-        if self.at_added is None:
-            yield from self._cut(text)
-            return
-        at = 0
-        for m in self.at_added.finditer(text):
-            yield from self._cut(text[at : m.start()])
-            yield self.vocabulary.added[m.group()].to_bytes(4, "little")
-            at = m.end()
-        yield from self._cut(text[at:] if at else text)
+                yield self._join(run)
 
-    def _learn(self, words: set[str]) -> None:
+    def _age(self) -> None:
         if self.kept_bytes > KEPT_BYTES:
-            self.kept, self.kept_bytes = {}, 0
-            new = words
-        else:
-            new = words - self.kept.keys()
-        for word, ids in self.vocabulary.encode_words({w.encode() for w in new}):
-            self.kept[word.decode()] = out = np.array(ids, "<u4").tobytes()
-            self.kept_bytes += len(word) + len(out) + 100
+            self.older, self.kept, self.kept_bytes = self.kept, {}, 0
+
+    def _join(self, words: list[str]) -> bytes:
+        self._age()
+        self._learn_words(set(words))
+        return b"".join([self.kept[w] for w in words])
+
+    def _unknown(self, texts: set[str]) -> set[str]:
+        """Those of which neither generation knows the ids; what only the older knows joins the younger."""
+        missing = texts - self.kept.keys()
+        for text in missing & self.older.keys():
+            self._keep(text, self.older[text])
+        return missing - self.kept.keys()
+
+    def _learn_words(self, words: set[str]) -> None:
+        for word, ids in self.vocabulary.encode_words([w.encode() for w in self._unknown(words)]):
+            self._keep(word.decode(), b"".join([self.packed[i] for i in ids]))
+
+    def _keep(self, text: str, ids: bytes) -> None:
+        self.kept[text] = ids
+        self.kept_bytes += len(text) + len(ids) + 180  # the two objects and their place in the table
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         slice_, size = [], 0
         for text in texts:
-            if len(text) > SLICE:
-                yield from self._slice(slice_)
-                slice_, size = [], 0
-                yield self._long(text)
-                continue
             slice_.append(list(self._runs(text)))
             size += len(text)
             if size > SLICE:
@@ -239,18 +261,27 @@ class Encoder:
         yield from self._slice(slice_)
 
     def _slice(self, texts: list[list[list[str] | bytes]]) -> Iterator[bytes]:
-        self._learn({w for runs in texts for run in runs if isinstance(run, list) for w in run})
+        self._age()
         kept = self.kept
+        cut = {u: self.words.findall(u) for u in self._unknown({u for runs in texts for run in runs if isinstance(run, list) for u in run})}
+        self._learn_words({w for words in cut.values() for w in words})
+        for unit, words in cut.items():
+            if unit not in kept:
+                self._keep(unit, b"".join([kept[w] for w in words]))
         for runs in texts:
-            yield b"".join(run if isinstance(run, bytes) else b"".join([kept[w] for w in run]) for run in runs)
+            yield b"".join([run if isinstance(run, bytes) else b"".join([kept[u] for u in run]) for run in runs])
 
-    def _long(self, text: str) -> bytes:
-        return b"".join(out for run in self._runs(text) for out in self._slice([[run]]))
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(Vocabulary(path))
 
-@lru_cache(maxsize=2)
-def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+
+@lru_cache(maxsize=1)
+def _table(path: str) -> dict[int, bytes]:
+    file, chars = _file(path), _byte_chars()
+    added = {a["id"]: a["content"].encode() for a in file["added_tokens"]}
+    return {i: bytes(chars[c] for c in s) for s, i in file["model"]["vocab"].items() if i not in added} | added
 
 
 @lru_cache(maxsize=2)
@@ -260,6 +291,13 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ROWS`` rows at a time, so that what is given back is never a whole batch at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids of each text; ``ids`` is binary, four little-endian bytes a token (see :func:`token_ids`).
 
@@ -267,8 +305,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabulary(path))
-        for batch in batches:
+        encoder = _encoder(path)  # kept by the worker for its next task
+        for batch in _small(batches):
             ids = pa.array(encoder.encode(t.as_py() for t in batch.column("text")), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
@@ -279,8 +317,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the text that its ``ids`` stand for; bytes that aren't UTF-8 become U+FFFD, unknown ids nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _vocabulary(path).bytes_of
-        for batch in batches:
+        table = _table(path)
+        for batch in _small(batches):
             texts = [None if i is None else b"".join([table.get(t, b"") for t in np.frombuffer(i, "<u4").tolist()]).decode("utf-8", "replace") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -74,10 +74,20 @@ def test_every_code_point_is_cut_as_the_library_cuts_it(vocabulary, library):
     points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
     for k in range(0, len(points), 20_011):  # blocks from all planes, the whole of the first
         text = "\n".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}." for c in points[k : k + (20_011 if k < 0x10000 else 500)])
-        words = [w for run in encoder._cut(text) for w in run]
+        if encoder._has_foreign(text):
+            text = "".join(c for c in text if not encoder._has_foreign(c))
+        words = [w for u in encoder._units(text) for w in encoder.words.findall(u)]
         assert words == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def test_units_are_cut_as_the_whole(vocabulary):
+    encoder, rng = bpe.Encoder(vocabulary), random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choice("  \n\t\u00a0a1'.s\u3000") for _ in range(rng.randrange(0, 14)))
+        units = encoder._units(text)
+        assert "".join(units) == text and [w for u in units for w in encoder.words.findall(u)] == encoder.words.findall(text)
+
+
 def test_words_as_a_plain_merge_loop(vocabulary):
     rng = random.Random(9)
     words = {bytes(rng.choice(b"abcdeaetn \xc3\xa9") for _ in range(rng.randrange(1, 25))) for _ in range(800)}
@@ -107,8 +117,8 @@ def test_a_made_up_vocabulary_with_equal_halves_and_unreachable_tokens(tmp_path)
 
 def test_shared_prefixes_are_worked_out_once(vocabulary, monkeypatch):
     calls = []
-    real = bpe.Vocabulary.last_token
-    monkeypatch.setattr(bpe.Vocabulary, "last_token", lambda self, w, e, last: calls.append(w[:e]) or real(self, w, e, last))
+    real = bpe.Vocabulary.step
+    monkeypatch.setattr(bpe.Vocabulary, "step", lambda self, w, e, *more: calls.append(w[:e]) or real(self, w, e, *more))
     dict(vocabulary.encode_words([b"inter", b"internal", b"international", b"intern", b"x", b"inter"]))
     assert len(calls) == len(set(calls)) == len("international") + len("l") + len("x")
 
@@ -116,7 +126,7 @@ def test_shared_prefixes_are_worked_out_once(vocabulary, monkeypatch):
 def test_bounds_change_nothing(vocabulary, library, monkeypatch):
     text = "lorem ipsum dolor " * 50 + "x" * 3000 + " 12 <|endoftext|> " + "é" * 500
     want = library.encode(text, add_special_tokens=False).ids
-    for name, value in (("SLICE", 100), ("RUN", 7), ("NODES", 20), ("KEPT_BYTES", 10), ("KEPT_PAIRS", 3)):
+    for name, value in (("SLICE", 100), ("RUN", 7), ("DEEP", 3), ("KEPT_BYTES", 10), ("KEPT_PAIRS", 3)):
         monkeypatch.setattr(bpe, name, value)
         assert ids_of(vocabulary, text) == want
     assert [len(x) for x in bpe.Encoder(vocabulary).encode([text, "", "a b", text])][1:3] == [0, 8]
