@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text
 
-SLICE, RUN, DEEP, KEPT_BYTES, KEPT_PAIRS, ROWS = 1 << 20, 100_000, 1_000, 20 << 20, 1 << 17, 500
+SLICE, RUN, DEEP, KEPT_BYTES, KEPT_PAIRS, ROWS = 1 << 20, 100_000, 1_000, 32 << 20, 1 << 18, 500
 
 #: Fixed: how the byte-level pre-tokenizer cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
