@@ -62,9 +62,17 @@ def drop(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
-def release(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete every table this process has materialized but ``keep``; results read from them must be stored by then."""
-    kept = {getattr(t, "_lavra_path", None) for t in keep}
+def written() -> frozenset[str]:
+    """The tables of this process that exist now."""
+    return frozenset(_written)
+
+
+def release(spark: SparkSession, keep: tuple[DataFrame, ...] = (), before: frozenset[str] = frozenset()) -> None:
+    """Delete every table this process has materialized but ``keep``; results read from them must be stored by then.
+
+    Those in ``before`` (see :func:`written`) belong to others, whose results may not be stored yet, and stay.
+    """
+    kept = {getattr(t, "_lavra_path", None) for t in keep} | before
     for path in [p for p in _written if p not in kept]:
         _delete(spark, path)
 

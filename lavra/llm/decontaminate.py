@@ -11,7 +11,8 @@ are candidates. How many embeddings are drawn is calibrated for each item length
 of the largest allowed number are simulated on random strings of that length, and embeddings
 are added until the share found reaches ``recall``; where ``MOST`` of them don't reach it, every window
 that survives the bound below is a candidate. Every candidate is verified by the exact edit distance.
-Items of fewer than ``min_words`` words are too short to allow for edits and match word for word.
+Items of fewer than ``min_words`` words are too short to be embedded: every window that survives the bound is verified, so
+their matches are exact. An item too short for an edit at all (under five words at a similarity of 0.8) matches word for word.
 
 Windows are only embedded where they can match at all: an edit changes at most two pairs of
 neighbouring words, so a stretch within e edits of an item keeps L - 1 - 2e of its pairs, and a
@@ -137,6 +138,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
 
 
+def allowed(length: int, similarity: float) -> int:
+    """Edits that leave an item of so many words similar enough."""
+    return math.floor((1 - similarity) * length + 1e-9)
+
+
 class Index:
     """The items of one block, by length: vocabulary, embeddings to draw and the cells of the items."""
 
@@ -145,7 +151,8 @@ class Index:
         by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         self.short: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, ws in items:
-            if len(ws) < min_words:
+            edits = allowed(len(ws), similarity)
+            if not edits or (len(ws) < min_words and len(ws) - 1 - 2 * edits < 1):
                 self.short[len(ws)][tuple(self.number.setdefault(w, number_of(w)) for w in ws)].append(item_id)
                 continue
             by[len(ws)].append((item_id, np.array([self.number.setdefault(w, number_of(w)) for w in ws])))
@@ -160,9 +167,9 @@ class Index:
         self.short = {n: dict(x) for n, x in self.short.items()}
         self.lengths = []
         for length, group in sorted(by.items()):
-            edits = math.floor((1 - similarity) * length + 1e-9)
+            edits = allowed(length, similarity)
             strings = np.stack([x for _, x in group])
-            tables, needed = [], calibrated(length, edits, recall)
+            tables, needed = [], calibrated(length, edits, recall) if length >= min_words else None
             for seed in range(needed or 0):
                 keys = cells(embed(strings, seed, steps_for(length)), seed).ravel()
                 order = np.argsort(keys, kind="stable")

@@ -124,3 +124,25 @@ def test_without_calibration_every_window_is_verified(spark, monkeypatch):
     items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     monkeypatch.setattr(m, "calibrated", lambda *a: None)
     assert {r["doc_id"]: r["item_ids"] for r in m.contamination(docs, items).collect()} == {1: [7], 2: []}
+
+
+def test_short_items_allow_their_edits(spark):
+    """Items of one to nine words, whole, with one edit and with two, in every place, against brute force."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(n, " ".join(rng.sample(vocab, n))) for n in range(1, 10)] + [(20, "a a a a a"), (21, "a b a b a b a"), (22, "seven words of which one is changed")]
+    docs = [(0, "here seven words of that one is changed again"), (1, "a a b a a"), (2, "b a b a c b a b")]
+    for d in range(3, 400):
+        _, text = items[rng.randrange(len(items))]
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 12))]
+        at = rng.randint(0, len(words))
+        words[at:at] = edited(text.split(), min(rng.randint(0, 2), len(text.split()) - 1), rng)
+        docs.append((d, " ".join(words)))
+    want = []
+    for d, text in docs:
+        w = m.words(text)
+        want.append((d, [i for i, t in items if distance(m.words(t), w) <= int(0.2 * len(m.words(t)) + 1e-9)]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    # items of eight words and more are found by the LSH, so only their misses are allowed, and here none
+    got = sorted((r["doc_id"], r["item_ids"]) for r in m.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted(want) and dict(got)[0] == [22]

@@ -39,3 +39,16 @@ def test_awkward_tables(spark, docs, empty, sf):
     kept = {r["doc_id"] for r in p.one_of_each_text(spark, docs, sf).collect()}
     assert 6 in kept or 8 in kept
     assert p.one_of_each_text(spark, docs, sf).where("doc_id = 6 or doc_id = 7 or doc_id = 8").count() == 1
+
+
+def test_a_run_leaves_the_tables_of_others(spark, sf):
+    """A result that isn't stored yet when the pipeline runs can still be read."""
+    from lavra.llm import common, exact_dedup
+
+    others = exact_dedup.exact_dedup(spark.read.parquet(f"{sf}/documents.parquet"))
+    before = common.written()
+    p.run(spark, sf)
+    assert before <= common.written()
+    assert others.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    common.release(spark)
+    assert not common.written()
