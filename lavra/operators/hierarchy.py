@@ -24,7 +24,9 @@ from ..functions import labels as L
 from ..functions.text import fold
 from .profiles import profiles
 from .quotation import analyse, in_order
+from .regions import placed
 from .reports import adjudicate
+from .routing import census_counts, covered
 from .seams import question_key
 
 # Weights, limits, section kinds.
@@ -229,17 +231,18 @@ def _walked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([[{k: s[k] for k in HEADER.names} for s in unify(rows)] for rows in documents.to_pylist()], kind)
 
 
-def outlines(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True) -> DataFrame:
-    """One row per document: doc_id, blocks (idx, text, quoted in order), hs (its sections), n_sections, confidence, flat.
+def outlines(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per document, with the aggregates ``more`` of its blocks: doc_id, blocks (idx, text, quoted in order), hs (its sections), n_sections, confidence, flat.
 
     Confidence is the mean score, damped below three sections; a flat document's sections don't count.
     """
     rows = candidates(analysed, section_patterns, units)
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "quoted", "form", "head"))).alias("bs"))
+    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "quoted", "form", "head"))).alias("bs"), *more)
+    kept = [c for c in packed.columns if c not in ("doc_id", "bs")]
     known = F.filter(F.transform("bs", lambda b, i: F.struct(
         i.alias("pos"), b["idx"].alias("idx"), b["form"].alias("form"), *[b["head"][c].alias(c) for c in ("kind", "series", "value", "level", "heading", "rest", "label", "numbered")],
     )), lambda c: c["form"].isNotNull())
-    out = packed.select("doc_id", F.transform("bs", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["quoted"].alias("quoted"))).alias("blocks"), _walked(known).alias("hs"))
+    out = packed.select("doc_id", F.transform("bs", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["quoted"].alias("quoted"))).alias("blocks"), _walked(known).alias("hs"), *kept)
     n = F.size("hs")
     mean = F.aggregate("hs", F.lit(0.0), lambda a, h: a + h["score"]) / F.nullif(n, F.lit(0))
     out = out.withColumn("n_sections", n.cast("long")).withColumn("confidence", F.coalesce(F.round(mean * F.least(F.lit(1.0), n / FULL_SECTIONS), 4), F.lit(0.0)))
@@ -294,23 +297,24 @@ def prose_headers(analysed: DataFrame, answers: DataFrame | None, model: str) ->
     return analysed.withColumn("declared", known).join(said, ["doc_id", "idx"], "left").withColumn("declared", F.col("declared") | F.coalesce("said", F.lit(False))).drop("said")
 
 
-def forest(blocks: DataFrame, parts: DataFrame, genres: DataFrame) -> DataFrame:
+def forest(docs: DataFrame) -> DataFrame:
     """The outlines of :func:`outlines` for every body (annex 0) and every annex, which is a document of its own.
 
-    ``parts``: rows of ``parts.parts``; ``genres``: doc_id, profile, whose section names count in the body only.
-    The line that names an annex belongs to no tree. All passes run by (doc_id, annex), shuffled once.
+    ``docs``: rows of ``parts.located``; the genre's section names count in the body only. The line that names an annex
+    belongs to no tree. All passes run by (doc_id, annex), shuffled once. ``counts``: the census of the tree's articles;
+    ``plain``: whether it is free of tables and list items.
     """
-    regions = parts.where(F.col("part").isin("body", "annex")).select(
-        "doc_id", F.when(F.col("part") == "body", 0).otherwise(F.col("ord")).cast("long").alias("annex"), (F.col("first_idx") + (F.col("part") == "annex").cast("int")).alias("from"), F.col("last_idx").alias("to"),
-    )
     named, folded = F.lit(False), fold(L.stripped(F.col("text")))
     for p in profiles():
         for pattern in p.sections:
             named = named | ((F.col("profile") == p.name) & folded.rlike(pattern))
-    rows = blocks.join(regions, "doc_id").where(F.col("idx").between(F.col("from"), F.col("to"))).drop("from", "to").join(genres.select("doc_id", "profile"), "doc_id", "left")
-    rows = rows.withColumn("declared", F.coalesce(named & (F.col("annex") == 0), F.lit(False))).drop("profile")
-    keyed = rows.withColumn("doc_id", F.struct("doc_id", "annex")).drop("annex")
-    return outlines(analyse(keyed)).select("doc_id.doc_id", "doc_id.annex", "blocks", "hs", "n_sections", "confidence", "flat")
+    rows = placed(docs).where(F.col("region") >= 0)
+    rows = rows.withColumn("declared", F.coalesce(named & (F.col("region") == 0), F.lit(False))).drop("profile")
+    keyed = rows.withColumn("doc_id", F.struct("doc_id", F.col("region").alias("annex"))).drop("region")
+    plain = [(F.col("kind") != "table"), F.col("num_id").isNull()] if {"kind", "num_id"} <= set(keyed.columns) else [F.lit(True)]
+    marked = covered(analyse(keyed)).withColumn("is_plain", plain[0] if len(plain) == 1 else plain[0] & plain[1])
+    out = outlines(marked, more=(F.struct(*census_counts()).alias("counts"), F.bool_and("is_plain").alias("plain")))
+    return out.select("doc_id.doc_id", "doc_id.annex", "blocks", "hs", "n_sections", "confidence", "flat", "counts", "plain")
 
 
 __all__ = ["candidates", "document_confidence", "forest", "headers", "outlines", "own_text", "paragraphs", "prose_headers", "sections", "tree_of", "unify", "unit_heads"]

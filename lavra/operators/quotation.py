@@ -114,14 +114,24 @@ def analyse(blocks: DataFrame) -> DataFrame:
     return marked.drop("band_low", "band_high", "prior", "q1", "q2", "inside")
 
 
-def islands(analysed: DataFrame) -> DataFrame:
-    """doc_id, run, first_idx, last_idx, n_blocks, antecedent_idx of each maximal quoted stretch."""
-    place = F.row_number().over(in_order())
-    opens = F.col("quoted") & ~F.coalesce(F.lag("quoted").over(in_order()), F.lit(False))
+def numbered_runs(analysed: DataFrame) -> DataFrame:
+    """Adds ``run`` and ``before``: quoted stretches, each cut where a paragraph names the next norm, and the last unquoted
+    paragraph above (idx, names). Unquoted blocks have no run."""
+    opens = F.col("quoted") & (~F.coalesce(F.lag("quoted").over(in_order()), F.lit(False)) | F.col("norm").isNotNull())
     announced = F.last(F.when(~F.col("quoted"), F.struct("idx", L.names_norm(F.col("text")).alias("names"))), ignorenulls=True).over(before())
-    rows = analysed.withColumn("place", place).withColumn("run", F.sum(opens.cast("int")).over(so_far())).withColumn("before", announced)
-    return (
-        rows.where("quoted").groupBy("doc_id", "run")
-        .agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n_blocks"), F.min_by("before", "idx").alias("before"))
-        .select("doc_id", F.col("run").cast("long").alias("run"), "first_idx", "last_idx", "n_blocks", F.when(F.col("before.names"), F.col("before.idx")).alias("antecedent_idx"))
+    rows = analysed.withColumn("before", announced).withColumn("run", F.sum(opens.cast("int")).over(so_far()).cast("long"))
+    return rows.withColumn("run", F.when(F.col("quoted"), F.col("run")))
+
+
+def islands(analysed: DataFrame) -> DataFrame:
+    """doc_id, run, first_idx, last_idx, n_blocks, antecedent_idx, norm of each quotation.
+
+    A quoted stretch is one quotation, or as many as norms are named in it. A head that introduces nothing but itself
+    is a run without a norm. The antecedent is that of the stretch.
+    """
+    found = numbered_runs(analysed).where("quoted").groupBy("doc_id", "run").agg(
+        F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n_blocks"), F.min_by("before", "idx").alias("before"), F.min_by("norm", "idx").alias("named"),
+    )
+    return found.select(
+        "doc_id", "run", "first_idx", "last_idx", "n_blocks", F.when(F.col("before.names"), F.col("before.idx")).alias("antecedent_idx"), F.when(F.col("n_blocks") > 1, F.col("named")).alias("norm"),
     )

@@ -17,35 +17,56 @@ def is_legal_id(ident: Column) -> Column:
     return ident.rlike(ID)
 
 
-def segment_id(path: Column, emitter: str = "generico", start: Column | None = None, root: str = "pp1") -> Column:
+def segment_id(path: Column, emitter: str = "generico", start: Column | None = None, root: Column | str = "pp1") -> Column:
     """``pp1_agrN_agrM``: one token per step of the path; the first step is moved on by ``start``."""
+    root = F.lit(root) if isinstance(root, str) else root
     token, goes_on = TOKENS[emitter]
     moved = F.lit(0) if start is None or not goes_on else start
     steps = F.transform(path, lambda p, i: F.concat(F.lit(f"_{token}"), (p + F.when(i == 0, moved).otherwise(0)).cast("string")))
-    return F.concat(F.lit(root), F.array_join(steps, ""))
+    return F.concat(root, F.array_join(steps, ""))
 
 
-def laid_out(outlined: DataFrame, emitter: str = "generico") -> DataFrame:
+def id_faults(ids: Column) -> Column:
+    """Why ids can't be published together: each one that isn't legal or comes more than once; empty if they can."""
+    bad = F.transform(F.filter(F.array_distinct(ids), lambda i: ~is_legal_id(i)), lambda i: F.concat(F.lit("not a legal id: "), i))
+    order = F.array_sort(ids)
+    again = F.zip_with(F.slice(order, F.lit(2), F.size(order)), order, lambda b, a: F.when(b == a, a))  # one longer: the last is null
+    return F.concat(bad, F.transform(F.array_distinct(F.filter(again, lambda i: i.isNotNull())), lambda i: F.concat(F.lit("duplicate id: "), i)))
+
+
+def named_rows(runs: Column, token: str, root: Column | str = "pp1") -> Column:
+    """A row for each of array<struct<name, lines>>, which takes the ordinals of ``token`` below the root from 1 on."""
+    root, none = F.lit(root) if isinstance(root, str) else root, F.lit(None).cast("string")
+    return F.transform(runs, lambda r, i: F.struct(
+        F.concat(root, F.lit(f"_{token}"), (i + 1).cast("string")).alias("id"), r["name"].alias("kind"), F.lit(0).alias("level"), none.alias("label"), none.alias("heading"),
+        F.array().cast("array<string>").alias("breadcrumb"), F.transform(r["lines"], lambda t: F.struct(t.alias("text"), F.lit(False).alias("quoted"))).alias("paras"), F.array().cast("array<int>").alias("path"),
+    ).cast(ROW))
+
+
+def laid_out(outlined: DataFrame, emitter: str = "generico", reserved: Column | None = None, root: Column | str = "pp1") -> DataFrame:
     """Adds ``rows`` (array of ROW, in reading order): what stands before the first section, then every section.
 
     A flat document is one row that holds all its text. No join: a section's paragraphs are the blocks up to the next header.
+    Ids are given out below ``root`` by token in reading order; the first ``reserved`` ordinals of ``agr`` are taken already.
     """
+    reserved = F.lit(0) if reserved is None else reserved
+    at_root = F.lit(root) if isinstance(root, str) else root
     hs = F.when(F.col("flat"), F.slice("hs", 1, 0)).otherwise(F.col("hs"))
     out = outlined.withColumn("hs", hs)
     size = F.size("blocks")
     lead = hierarchy.paragraphs(F.slice("blocks", F.lit(1), F.coalesce(F.try_element_at("hs", F.lit(1))["pos"], size)))
     out = out.withColumn("lead", lead)
-    start = F.when(F.size("lead") > 0, 1).otherwise(0)
+    start = reserved + F.when(F.size("lead") > 0, 1).otherwise(0)
     none = F.lit(None).cast("string")
     first = F.struct(
-        F.lit("pp1_agr1").alias("id"), F.lit("texto").alias("kind"), F.lit(0).alias("level"), none.alias("label"), none.alias("heading"),
+        F.concat(at_root, F.lit("_agr"), (reserved + 1).cast("string")).alias("id"), F.lit("texto").alias("kind"), F.lit(0).alias("level"), none.alias("label"), none.alias("heading"),
         F.array().cast("array<string>").alias("breadcrumb"), F.col("lead").alias("paras"), F.array().cast("array<int>").alias("path"),
     )
 
     def row(h: Column, i: Column) -> Column:
         until = F.coalesce(F.try_element_at("hs", i + 2)["pos"], size)
         return F.struct(
-            segment_id(h["path"], emitter, start).alias("id"), h["kind"].alias("kind"), h["depth"].alias("level"), h["label"].alias("label"), h["heading"].alias("heading"),
+            segment_id(h["path"], emitter, start, at_root).alias("id"), h["kind"].alias("kind"), h["depth"].alias("level"), h["label"].alias("label"), h["heading"].alias("heading"),
             h["breadcrumb"].alias("breadcrumb"), hierarchy.own_text(h, until, F.col("blocks")).alias("paras"), h["path"].alias("path"),
         )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import articulation as statutes
-from ..operators import hierarchy, parts, profiles, quotation, rendering, reports, routing, seams, segmentation, segments, xml
+from ..operators import bundles, corpus, hierarchy, parts, profiles, quotation, regions, rendering, reports, routing, seams, segmentation, segments, xml
 from ..sources import readers
 from . import oracle as O
 from .corpus import LEGAL, PLACED, legal_blocks, page_blocks
@@ -79,10 +79,12 @@ def quoted_blocks(spark, sf):
     return _analysed(spark, sf).select("doc_id", "idx", "quoted", "antecedent", "omissis", "in_band")
 
 
-@query(f"""WITH {O.ANALYSED}, marked AS (SELECT *, quoted AND NOT coalesce(lag(quoted) OVER w, false) AS opens_run FROM analysed WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+@query(f"""WITH {O.ANALYSED}, marked AS (SELECT *, quoted AND (norm_head OR NOT coalesce(lag(quoted) OVER w, false)) AS opens_run FROM analysed WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
 runs AS (SELECT *, sum(CAST(opens_run AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM marked),
 spans AS (SELECT doc_id, CAST(run AS BIGINT) AS run, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n_blocks FROM runs WHERE quoted GROUP BY ALL)
-SELECT s.*, CASE WHEN {O.names_norm(O.strip('a.text'))} THEN a.idx END AS antecedent_idx FROM spans s LEFT JOIN analysed a
+SELECT s.*, CASE WHEN {O.names_norm(O.strip('a.text'))} THEN a.idx END AS antecedent_idx,
+  CASE WHEN n_blocks > 1 AND h.norm_head THEN nullif({O.cut(O.group(O.strip('h.text'), L.NORM_HEAD, 1), '[ ,;:–—"“”-]+$')}, '') END AS norm
+FROM spans s JOIN analysed h ON h.doc_id = s.doc_id AND h.idx = s.first_idx LEFT JOIN analysed a
 ON a.doc_id = s.doc_id AND a.idx = (SELECT max(b.idx) FROM analysed b WHERE b.doc_id = s.doc_id AND b.idx < s.first_idx AND NOT b.quoted)""")
 def quoted_islands(spark, sf):
     return quotation.islands(_analysed(spark, sf))
@@ -299,10 +301,67 @@ def region_trees(spark, sf):
     """Section trees of every body and, apart, of every annex."""
     blocks = legal_blocks(spark, sf)
     known = profiles.identity(blocks).select("doc_id", "profile", "epigraph_idx")
-    found = hierarchy.forest(blocks, parts.parts(blocks, known, known), known)
+    found = hierarchy.forest(parts.located(blocks, known))
     return found.select("doc_id", "annex", F.size("blocks").cast("long").alias("n_blocks"), "n_sections", "confidence", "flat")
 
 
+# --- regions and bundles -------------------------------------------------------------------
+
+_WORDS = f"WITH legal AS ({LEGAL}) SELECT doc_id, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS"
+
+
+@query(f"""WITH legal AS ({LEGAL}), claims AS (SELECT doc_id, idx AS a, idx + 1 AS b, 1 AS pri, 'fecho' AS owner FROM legal WHERE {_CLOSING} UNION ALL SELECT doc_id, idx, idx + 2, 2, 'anexo' FROM legal WHERE {_MARKER}),
+owned AS (SELECT l.doc_id, l.idx, coalesce(arg_min(c.owner, c.pri * 1000000 + c.a), 'resto') AS owner FROM legal l LEFT JOIN claims c ON c.doc_id = l.doc_id AND l.idx BETWEEN c.a AND c.b GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - row_number() OVER (PARTITION BY doc_id, owner ORDER BY idx) AS island FROM owned)
+SELECT doc_id, owner, min(idx) AS first_idx, max(idx) AS last_idx FROM g GROUP BY doc_id, owner, island""")
+def owner_runs(spark, sf):
+    """Every document dealt out among claims of closing lines with the line after, then of annex markers with the two after."""
+    t, at = F.col("text"), F.col("idx").cast("long")
+    claims = [F.when(test, F.struct(F.lit(owner).alias("owner"), at.alias("first_idx"), (at + more).alias("last_idx"))) for owner, test, more in (("fecho", segmentation.is_closing(t), 1), ("anexo", segmentation.is_annex_marker(t), 2))]
+    by_place = [F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(c["first_idx"].alias("at"), c.alias("c"))))) for c in claims]
+    docs = legal_blocks(spark, sf).groupBy("doc_id").agg(F.struct(F.min(at).alias("first_idx"), F.max(at).alias("last_idx")).alias("hull"), F.concat(*[F.transform(x, lambda y: y["c"]) for x in by_place]).alias("claims"))
+    return docs.select("doc_id", F.inline(regions.owner_runs(F.col("hull"), F.col("claims").cast(f"array<{regions.CLAIM}>"), "resto")))
+
+
+def _bundled(spark, sf, emitter="generico"):
+    blocks = legal_blocks(spark, sf)
+    known = profiles.identity(blocks).select("doc_id", "profile", "epigraph_idx", "urn")
+    docs = corpus.kept(parts.located(blocks, known))
+    return docs, bundles.routed(bundles.assembled(docs, emitter)).join(known.select("doc_id", "urn"), "doc_id")
+
+
+@query()
+def region_runs(spark, sf):
+    """Front and closing matter of every document as named runs of blocks."""
+    blocks = legal_blocks(spark, sf)
+    docs = regions.with_runs(parts.located(blocks, profiles.identity(blocks)))
+    sides = [docs.select("doc_id", F.lit(side).alias("side"), F.posexplode_outer(f"{side}_runs").alias("run", "r")).where("r is not null") for side in ("front", "back")]
+    return sides[0].unionAll(sides[1]).select("doc_id", "side", "run", "r.*")
+
+
+@query()
+def bundle_gates(spark, sf):
+    """How every document is published, and the gates that stop those routed as statutes."""
+    docs, whole = _bundled(spark, sf)
+    out = bundles.published(whole, F.col("urn"), bundles.statutes(docs))
+    return out.select("doc_id", "profile", "route", "emitter", F.concat_ws(",", "gate").alias("gate"), F.size("files").alias("n_files"))
+
+
+@query(f"{_WORDS} n_words FROM legal GROUP BY doc_id")
+def bundle_words(spark, sf):
+    """Words read back from all files of each document's bundle in the nested form."""
+    _, whole = _bundled(spark, sf, "generico-aninhado")
+    files = bundles.files(bundles.published(whole, F.col("urn"), emitter="generico-aninhado"))
+    return files.groupBy("doc_id").agg(F.sum(F.size(xml.words(F.col("xml")))).cast("long").alias("n_words"))
+
+
+@query()
+def bundle_segments(spark, sf):
+    """The segment rows of every bundle: front matter, sections, closing matter, and those of each annex."""
+    _, whole = _bundled(spark, sf)
+    return bundles.segment_rows(whole).select("doc_id", "fragment", "order", "id", "kind", "level", "text", "urn")
+
+
 # --- tree and segments ---------------------------------------------------------------------
 
 def _outlines(spark, sf):
@@ -334,9 +393,6 @@ def segment_rows(spark, sf):
     return segments.segments(_outlines(spark, sf), _urn()).drop("path").withColumn("breadcrumb", F.concat_ws(" | ", "breadcrumb"))
 
 
-_WORDS = f"WITH legal AS ({LEGAL}) SELECT doc_id, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS"
-
-
 def _n_words(*columns):
     return F.size(F.filter(F.split(F.concat_ws(" ", *columns), r"\s+"), lambda w: w != ""))
 

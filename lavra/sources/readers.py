@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.seams import merged_runs
+from .files import read_files
 
 BLOCK = "kind string, text string, style string, outline_level int, num_id string, ilvl int, indent_direct int, indent_effective int"
 TWIPS_PER_BLANK, TAB = 180, 4
@@ -379,36 +380,58 @@ def docx_runs(files: DataFrame) -> DataFrame:
     return _runs_by("docx", lambda data: unwrap_layout(docx_items(bytes(data))))(files.select("doc_id", "content"))
 
 
+def txt_items(data: bytes) -> list[dict]:
+    """The blocks :func:`txt_blocks` gives, of a file's bytes."""
+    out = []
+    for raw in re.split(r"\n(?:[ \t\x0B\f]*\n)+", re.sub("\r\n?", "\n", decode(data))):
+        if text := " ".join(raw.split()):
+            indent = len(re.match(" *", raw.lstrip("\n").replace("\t", " " * TAB))[0]) * TWIPS_PER_BLANK
+            out.append({**ITEM, "text": text, "indent_direct": indent or None, "indent_effective": indent})
+    return out
+
+
+PARSERS = {"txt": txt_items, "html": html_items, "htm": html_items, "docx": lambda data: unwrap_layout(docx_items(data))}
+
+
 def corpus_files(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
-    """doc_id, path, suffix, content, error of every file below the paths, once each, in path order.
+    """doc_id, path, suffix, content, error of every file below the paths, once each; those of no bytes too.
 
-    A file of no bytes at all is passed over by Spark's readers and so has no row; one of blanks is an empty document.
     The id is a hash of the path; should two paths ever share one, both are rows with an error rather than one document.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).dropDuplicates(["path"])
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select("path", suffix.alias("suffix"), "content")
-    if limit is not None:
-        rows = rows.orderBy("path").limit(limit)
-    rows = rows.withColumn("doc_id", F.xxhash64("path"))
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path").distinct()
-    twice = names.groupBy(F.xxhash64("path").alias("doc_id")).agg(F.count("*").alias("n_paths")).where("n_paths > 1")
-    error = F.when(F.col("n_paths").isNotNull(), F.lit("another file has the same id")).when(
-        ~F.col("suffix").isin(*SUFFIXES), F.concat(F.lit("unsupported format: "), F.col("suffix"))
-    )
-    return rows.join(twice, "doc_id", "left").withColumn("error", error).select("doc_id", "path", "suffix", "content", "error")
+    rows = read_files(spark, *paths, limit=limit)
+    error = F.coalesce("error", F.when(~F.col("suffix").isin(*SUFFIXES), F.concat(F.lit("unsupported format: "), F.col("suffix"))))
+    return rows.withColumn("error", error).select("doc_id", "path", "suffix", "content", "error")
 
 
 def read_corpus(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
-    """The blocks of all files, by suffix; unsupported and unreadable ones are rows with an error."""
-    files = corpus_files(spark, *paths, limit=limit)
-    good = files.where("error is null")
-    none = F.lit(None).cast("string")
-    txt = txt_blocks(good.where("suffix = 'txt'").select("doc_id", decoded("content").alias("text"))).withColumn("error", none)
-    web = html_blocks(good.where("suffix in ('html', 'htm')"))
-    docx = docx_blocks(good.where("suffix = 'docx'"))
-    bad = files.where("error is not null").select("doc_id", "error")
-    return txt.unionByName(web).unionByName(docx).unionByName(bad, allowMissingColumns=True)
+    """The blocks of all files, each parsed once, and one row without ``idx`` for every file, with its ``path`` and ``error`` if any."""
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, path, suffix, content, error in zip(pdf["doc_id"], pdf["path"], pdf["suffix"], pdf["content"], pdf["error"], strict=True):
+                items = []
+                if error is None:
+                    try:
+                        items = PARSERS[suffix](bytes(content))
+                    except Exception as problem:  # any malformed file; it is reported, the run goes on
+                        error = f"{suffix}: {type(problem).__name__}: {problem}"
+                rows.append({"doc_id": doc, "path": path, "error": error})
+                rows += [{"doc_id": doc, "idx": i, **{k: v for k, v in x.items() if k in names}} for i, x in enumerate(items)]
+            frame = pd.DataFrame(rows, columns=["doc_id", "idx", *names, "path", "error"])
+            for c in ("doc_id", "idx", "outline_level", "ilvl", "indent_direct", "indent_effective"):
+                frame[c] = frame[c].astype("Int64")
+            for c in ("kind", "text", "style", "num_id", "path", "error"):
+                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+            yield frame
+
+    return corpus_files(spark, *paths, limit=limit).mapInPandas(run, f"doc_id long, idx long, {BLOCK}, path string, error string")
+
+
+def read_xml(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
+    """doc_id, path, xml of the files below the paths; one that can't be read has none."""
+    return read_files(spark, *paths, limit=limit).select("doc_id", "path", F.decode("content", F.lit("UTF-8")).alias("xml"))
 
 
 def styled_json(blocks: DataFrame) -> DataFrame:
@@ -433,7 +456,7 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_xml(documents: DataFrame, path: str) -> DataFrame:
-    """Writes doc_id, urn, xml as one text file a document, in the task that holds it; gives doc_id, file.
+    """Writes doc_id, fragment, urn, xml as one text file each, in the task that holds it; gives doc_id, fragment, file.
 
     ``path`` is a folder all executors share. Files are replaced whole, so a task that is repeated does no harm.
     """
@@ -447,13 +470,27 @@ def write_xml(documents: DataFrame, path: str) -> DataFrame:
                 with open(part, "w", encoding="utf-8") as out:
                     out.write(xml + "\n")
                 os.replace(part, os.path.join(path, name))
-            yield pdf[["doc_id", "file"]]
+            yield pdf[["doc_id", "fragment", "file"]]
+
+    return file_names(documents).select("doc_id", "fragment", "file", "xml").mapInPandas(run, "doc_id long, fragment int, file string")
+
 
-    return file_names(documents).select("doc_id", "file", "xml").mapInPandas(run, "doc_id long, file string")
+SHARES = 256  # parts that the documents of one name are dealt to
 
 
 def file_names(documents: DataFrame) -> DataFrame:
-    """Adds ``file``: the name's slug, and ``_2``, ``_3`` ... where documents share one, in id order."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower("urn"), "^urn:lex:", ""), "[^a-z0-9]+", "-")
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("doc_id"))
-    return documents.withColumn("slug", slug).withColumn("n", n).withColumn("file", F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), F.lit(".xml"))).drop("slug", "n")
+    """Adds ``file``: the name's slug, and ``_2``, ``_3`` ... where documents share one; annexes are named with their document.
+
+    A name may be that of most documents, so each name's documents are dealt to shares by a hash of their id, counted by share
+    and numbered within it: a task sees a share of a name, or the counts of one.
+    """
+    rows = documents if "fragment" in documents.columns else documents.withColumn("fragment", F.lit(0))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace("urn", "!anexo[0-9]+$", "")), "^urn:lex:", ""), "[^a-z0-9]+", "-")
+    rows = rows.withColumn("slug", slug).withColumn("share", F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(SHARES)))
+    counts = rows.where("fragment = 0").groupBy("slug", "share").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("slug").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("slug", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    n = F.col("before") + F.dense_rank().over(Window.partitionBy("slug", "share").orderBy("doc_id"))
+    rows = rows.join(counts, ["slug", "share"]).withColumn("n", n)
+    annex = F.when(F.col("fragment") > 0, F.concat(F.lit(".anexo"), F.col("fragment").cast("string"))).otherwise("")
+    return rows.withColumn("file", F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), annex, F.lit(".xml"))).drop("slug", "share", "before", "n")

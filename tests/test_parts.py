@@ -86,9 +86,12 @@ def test_bodies_and_annexes_have_trees_of_their_own(spark, sf):
     }
     none = "null as style, cast(null as int) as outline_level, cast(null as int) as indent_direct, 0 as indent_effective"
     blocks = spark.createDataFrame([(d, i, t) for d, (_, ts) in texts.items() for i, t in enumerate(ts)], "doc_id long, idx long, text string").selectExpr("*", *none.split(", "))
-    genres = spark.createDataFrame([(d, g, None) for d, (g, _) in texts.items()], "doc_id long, profile string, epigraph_idx long")
-    spans = spark.createDataFrame([(1, "body", 1, 1, 5), (1, "annex", 1, 6, 10), (1, "annex", 2, 11, 12), (2, "body", 1, 0, 5), (3, "body", 1, 0, 5)], "doc_id long, part string, ord long, first_idx long, last_idx long")
-    got = {(r["doc_id"], r["annex"]): ([b["idx"] for b in r["blocks"]], [h["heading"] for h in r["hs"]]) for r in hierarchy.forest(blocks, spans, genres).collect()}
+    spans = {1: ((0, 0), (1, 5), [(6, 10), (11, 12)]), 2: (None, (0, 5), []), 3: (None, (0, 5), [])}
+    span = "struct<first_idx:long,last_idx:long>"
+    docs = spark.createDataFrame([(d, g, front, None, body, annexes) for d, (g, _) in texts.items() for front, body, annexes in [spans[d]]], f"doc_id long, profile string, front {span}, back {span}, body {span}, annexes array<{span}>")
+    packed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in blocks.columns if c != "doc_id"]))).alias("blocks"))
+    docs = docs.join(packed, "doc_id")
+    got = {(r["doc_id"], r["annex"]): ([b["idx"] for b in r["blocks"]], [h["heading"] for h in r["hs"]]) for r in hierarchy.forest(docs).collect()}
     assert got == {
         (1, 0): ([1, 2, 3, 4, 5], ["RELATÓRIO", "FUNDAMENTOS", "CONCLUSÃO"]), (1, 1): ([7, 8, 9, 10], ["ALFA", "BETA"]), (1, 2): ([12], []),
         (2, 0): ([0, 1, 2, 3, 4, 5], ["Relatório", "Fundamentos", "Conclusão"]), (3, 0): ([0, 1, 2, 3, 4, 5], []),

@@ -4,6 +4,7 @@ import io
 import subprocess
 import sys
 import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -61,10 +62,12 @@ def test_statute(spark):
 
 
 def test_annex_is_a_document_of_its_own():
-    row = {"id": "pp1_agr2", "kind": "secao", "level": 1, "label": "1.", "heading": "TABELA", "breadcrumb": [], "paras": [{"text": "x", "quoted": True}], "path": [1]}
-    out = xml.annex("urn:x", 2, "ANEXO II", [row])
-    assert 'URN="urn:x!anexo2"' in out and 'id="anexo2_pp_agr2"' in out and '<p class="quote">x</p>' in out
-    assert [(r["id"], r["text"]) for r in xml.read(out)] == [("anexo2_pp_agr1", "ANEXO II"), ("anexo2_pp_agr2", "x")]
+    row = {"id": "anexo2_pp_agr1", "kind": "tituloAnexo", "level": 0, "label": None, "heading": None, "breadcrumb": [], "paras": [{"text": "ANEXO II", "quoted": False}], "path": []}
+    section = row | {"id": "anexo2_pp_agr2", "kind": "secao", "level": 1, "label": "1.", "heading": "TABELA", "paras": [{"text": "x", "quoted": True}], "path": [1]}
+    for emitter in ("generico", "generico-aninhado"):
+        out = xml.annex("urn:x", 2, [row, section], emitter)
+        assert 'URN="urn:x!anexo2"' in out and 'id="anexo2_pp_agr2"' in out and '<p class="quote">x</p>' in out
+        assert [(r["id"], r["text"]) for r in xml.read(out)] == [("anexo2_pp_agr1", "ANEXO II"), ("anexo2_pp_agr2", "x")]
 
 
 def _docx(*paragraphs):
@@ -84,6 +87,7 @@ def _folder(tmp_path):
     (tmp_path / "quebrado.docx").write_bytes(b"not a zip")
     (tmp_path / "foto.png").write_bytes(b"\x89PNG")
     (tmp_path / "vazio.txt").write_bytes(b"\n")
+    (tmp_path / "nada.txt").write_bytes(b"")
     return str(tmp_path)
 
 
@@ -91,19 +95,25 @@ def test_corpus_of_all_kinds_of_files(spark, tmp_path):
     path = _folder(tmp_path)
     outcomes, documents = corpus.run(spark, path)
     by = {r["source"]: r for r in outcomes.collect()}
-    assert len(by) == 7
+    assert len(by) == 8
     assert {s for s, r in by.items() if not r["ok"]} == {"quebrado.docx", "foto.png"}
     assert by["foto.png"]["error"] == "unsupported format: png" and "BadZipFile" in by["quebrado.docx"]["error"]
-    act = by["portaria_1.txt"]  # three own articles out of four blocks, but the title stands before the first one
-    assert (act["route"], act["emitter"], act["profile"], act["genre"]) == ("norma", "generico", "portaria", "portaria")
-    assert by["vazio.txt"]["n_blocks"] == 0 and by["vazio.txt"]["flat"]
+    act = by["portaria_1.txt"]
+    assert (act["route"], act["emitter"], act["profile"], act["genre"], act["gate"]) == ("norma", "norma", "portaria", "portaria", [])
+    for name in ("vazio.txt", "nada.txt"):
+        assert by[name]["n_blocks"] == 0 and by[name]["flat"] and by[name]["emitter"] == "generico"
     text = {r["doc_id"]: r["w"] for r in documents.select("doc_id", xml.words(F.col("xml")).alias("w")).collect()}
     assert text[by["latin.txt"]["doc_id"]] == ["acórdão", "nº", "2"]
     assert text[by["parecer_3.docx"]["doc_id"]] == "PARECER nº 3 corpo do parecer".split()
     totals = corpus.report(outcomes)["totals"].collect()[0]
-    assert (totals["total"], totals["succeeded"], totals["failed"], totals["balanced"]) == (7, 5, 2, True)
+    assert (totals["total"], totals["succeeded"], totals["failed"], totals["balanced"]) == (8, 6, 2, True)
+    urns = {r["doc_id"]: r["urn"] for r in outcomes.collect() if r["ok"]}
     written = readers.write_xml(documents, str(tmp_path / "out")).collect()
-    assert len(written) == documents.count() and all((tmp_path / "out" / r["file"]).read_text().startswith("<LexML") for r in written)
+    assert len(written) == len({r["file"] for r in written}) == documents.count() == 6
+    for r in written:  # each file on disk names its document
+        root = ElementTree.fromstring((tmp_path / "out" / r["file"]).read_text())
+        assert root.find(f".//{{{xml.LEXML}}}Identificacao").get("URN") == urns[r["doc_id"]]
+    assert act["urn"].endswith(";1") and "portaria" in act["urn"]
 
 
 def test_texts_as_a_stream(spark, tmp_path):
@@ -121,6 +131,20 @@ def test_profiles_command():
     assert '"parecer"' in out and len(out.splitlines()) == 7
 
 
+def test_validation_of_files(spark, tmp_path):
+    """Valid, invalid, broken, blank and null XML against a small schema."""
+    schema = tmp_path / "a.xsd"
+    schema.write_text('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="a"><xs:complexType><xs:sequence><xs:element name="b" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    (tmp_path / "in").mkdir()
+    for name, text in {"um": "<a><b>1</b></a>", "dois": "<a><b>x</b></a>", "tres": "<a><b>1</b>", "vazio": ""}.items():
+        (tmp_path / "in" / f"{name}.xml").write_text(text)
+    found = readers.read_xml(spark, str(tmp_path / "in"))
+    got = {r["path"].rpartition("/")[2]: r["ok"] for r in xml.validate(found, {"a": str(schema)}).join(found, "doc_id").collect()}
+    assert got == {"um.xml": True, "dois.xml": False, "tres.xml": False, "vazio.xml": False}
+    null = spark.createDataFrame([(1, None)], "doc_id long, xml string")
+    assert [r["ok"] for r in xml.validate(null, {"a": str(schema)}).collect()] == [False] and not xml.validate(null, {}).head()["ok"]
+
+
 def test_seams(spark):
     run = "array<struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean,href:string>>"
     r = lambda t, b=False: (t, b, False, False, False, None)
