@@ -71,6 +71,10 @@ def unit_heads(blocks: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", F.col("unit_head").alias("head")).agg(F.first("unit_lines").alias("n_lines"))
 
 
+# Why a tree is flat, in the order in which one excludes the next.
+EMPTY_BODY, NO_CANDIDATE, ALL_REJECTED, TOO_FEW = "empty_body_span", "no_candidate", "all_rejected", "too_few_sections"
+
+
 # --- candidates ----------------------------------------------------------------------------
 
 def candidates(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True) -> DataFrame:
@@ -232,7 +236,8 @@ def _walked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def outlines(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
-    """One row per document, with the aggregates ``more`` of its blocks: doc_id, blocks (idx, text, quoted in order), hs (its sections), n_sections, confidence, flat.
+    """One row per document, with the aggregates ``more`` of its blocks: doc_id, blocks (idx, text, quoted in order), hs (its sections), n_sections,
+    confidence, flat, rejected (places of the candidates that head none) and flat_cause ("" if it isn't flat).
 
     Confidence is the mean score, damped below three sections; a flat document's sections don't count.
     """
@@ -242,11 +247,13 @@ def outlines(analysed: DataFrame, section_patterns: tuple[str, ...] = (), units:
     known = F.filter(F.transform("bs", lambda b, i: F.struct(
         i.alias("pos"), b["idx"].alias("idx"), b["form"].alias("form"), *[b["head"][c].alias(c) for c in ("kind", "series", "value", "level", "heading", "rest", "label", "numbered")],
     )), lambda c: c["form"].isNotNull())
-    out = packed.select("doc_id", F.transform("bs", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["quoted"].alias("quoted"))).alias("blocks"), _walked(known).alias("hs"), *kept)
+    out = packed.select("doc_id", F.transform("bs", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["quoted"].alias("quoted"))).alias("blocks"), _walked(known).alias("hs"), F.transform(known, lambda c: c["idx"]).alias("candidates"), *kept)
     n = F.size("hs")
     mean = F.aggregate("hs", F.lit(0.0), lambda a, h: a + h["score"]) / F.nullif(n, F.lit(0))
     out = out.withColumn("n_sections", n.cast("long")).withColumn("confidence", F.coalesce(F.round(mean * F.least(F.lit(1.0), n / FULL_SECTIONS), 4), F.lit(0.0)))
-    return out.withColumn("flat", F.col("confidence") < FLAT_BELOW)
+    out = out.withColumn("flat", F.col("confidence") < FLAT_BELOW).withColumn("rejected", F.array_except("candidates", F.col("hs")["idx"]))
+    cause = F.when(F.size("candidates") == 0, NO_CANDIDATE).when(n == 0, ALL_REJECTED).otherwise(TOO_FEW)
+    return out.withColumn("flat_cause", F.when(F.col("flat"), cause).otherwise("")).drop("candidates")
 
 
 def headers(outlined: DataFrame) -> DataFrame:
@@ -314,7 +321,7 @@ def forest(docs: DataFrame) -> DataFrame:
     plain = [(F.col("kind") != "table"), F.col("num_id").isNull()] if {"kind", "num_id"} <= set(keyed.columns) else [F.lit(True)]
     marked = covered(analyse(keyed)).withColumn("is_plain", plain[0] if len(plain) == 1 else plain[0] & plain[1])
     out = outlines(marked, more=(F.struct(*census_counts()).alias("counts"), F.bool_and("is_plain").alias("plain")))
-    return out.select("doc_id.doc_id", "doc_id.annex", "blocks", "hs", "n_sections", "confidence", "flat", "counts", "plain")
+    return out.select("doc_id.doc_id", "doc_id.annex", "blocks", "hs", "n_sections", "confidence", "flat", "flat_cause", "counts", "plain")
 
 
 __all__ = ["candidates", "document_confidence", "forest", "headers", "outlines", "own_text", "paragraphs", "prose_headers", "sections", "tree_of", "unify", "unit_heads"]

@@ -373,6 +373,12 @@ def unify_levels(spark, sf):
     return hierarchy.headers(_outlines(spark, sf))
 
 
+@query()
+def flat_causes(spark, sf):
+    """Why each flat document is flat, with the candidates that came to nothing."""
+    return _outlines(spark, sf).where("flat").select("doc_id", "flat_cause", F.size("rejected").cast("long").alias("n_rejected"), "n_sections")
+
+
 @query()
 def document_confidence(spark, sf):
     return hierarchy.document_confidence(_outlines(spark, sf))

@@ -431,7 +431,7 @@ def read_corpus(spark: SparkSession, *paths: str, limit: int | None = None) -> D
 
 def read_xml(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
     """doc_id, path, xml of the files below the paths; one that can't be read has none."""
-    return read_files(spark, *paths, limit=limit).select("doc_id", "path", F.decode("content", F.lit("UTF-8")).alias("xml"))
+    return read_files(spark, *paths, limit=limit).select("doc_id", "path", F.col("content").cast("string").alias("xml"))
 
 
 def styled_json(blocks: DataFrame) -> DataFrame:

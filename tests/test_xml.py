@@ -101,7 +101,7 @@ def test_corpus_of_all_kinds_of_files(spark, tmp_path):
     act = by["portaria_1.txt"]
     assert (act["route"], act["emitter"], act["profile"], act["genre"], act["gate"]) == ("norma", "norma", "portaria", "portaria", [])
     for name in ("vazio.txt", "nada.txt"):
-        assert by[name]["n_blocks"] == 0 and by[name]["flat"] and by[name]["emitter"] == "generico"
+        assert by[name]["n_blocks"] == 0 and by[name]["flat"] and by[name]["emitter"] == "generico" and by[name]["flat_cause"] == "empty_body_span"
     text = {r["doc_id"]: r["w"] for r in documents.select("doc_id", xml.words(F.col("xml")).alias("w")).collect()}
     assert text[by["latin.txt"]["doc_id"]] == ["acórdão", "nº", "2"]
     assert text[by["parecer_3.docx"]["doc_id"]] == "PARECER nº 3 corpo do parecer".split()
@@ -131,6 +131,17 @@ def test_profiles_command():
     assert '"parecer"' in out and len(out.splitlines()) == 7
 
 
+def test_a_cause_for_every_flat_document(spark):
+    docs = {
+        1: [("prosa simples que segue.", None), ("mais prosa.", None)], 2: [("texto", None), ("b) solta", None), ("fim", None)], 3: [("1. DOS FATOS", None), ("texto", None), ("fim.", None)],
+        4: TREE, 5: [('"1. CITADO', None), ("texto", None)],
+    }
+    got = {r["doc_id"]: (r["flat_cause"], r["flat"], len(r["hs"]), r["rejected"]) for r in hierarchy.outlines(quotation.analyse(_blocks(spark, docs))).collect()}
+    assert got[1] == ("no_candidate", True, 0, []) and got[4][:2] == ("", False) and got[5] == ("no_candidate", True, 0, [])
+    assert got[2] == ("all_rejected", True, 0, [1]) and got[3][0] in ("all_rejected", "too_few_sections") and got[3][1]
+    assert all((cause == "") == (not flat) for cause, flat, _, _ in got.values())
+
+
 def test_validation_of_files(spark, tmp_path):
     """Valid, invalid, broken, blank and null XML against a small schema."""
     schema = tmp_path / "a.xsd"
