@@ -115,3 +115,20 @@ def test_prose_headers_need_an_answer(spark):
     assert declared(answers.union(answers)) == [1]  # prose is never asked about, an unsure answer doesn't count, a label is none
     assert declared(None) == []
     assert [h["heading"] for h in hierarchy.headers(hierarchy.outlines(hierarchy.prose_headers(analysed, answers, "m"))).collect()] == ["DOS FATOS"]
+
+
+def test_trees_and_bundles_work_out_parts_once(spark, sf):
+    """What is read twice is kept: no plan goes back to the table, let alone on both sides of a join."""
+    from lavra.plans import queries as plans
+
+    for query in (plans.region_trees, plans.bundle_segments):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "RDD" in plan
+
+
+def test_tests_of_a_line_run_once(spark):
+    """The folded text of a line is worked out once for all that is searched in it."""
+    blocks = spark.createDataFrame([(1, 0, "texto")], "doc_id long, idx long, text string")
+    genres = spark.createDataFrame([(1, "generic", 0)], "doc_id long, profile string, epigraph_idx long")
+    plan = parts.located(blocks, genres)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") < 15  # 30 when each test folded it again
