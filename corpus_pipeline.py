@@ -78,12 +78,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of each document: doc_id, piece ids, score, and whether they decode to the text.
+    """Two segmentations of each document, sampled without replacement: doc_id, sample, piece ids, score, inclusion and whether they decode to the text.
 
     Null counts as empty, which has one segmentation without pieces; rows that repeat a doc_id draw alike; an empty
     table gives no rows.
     """
-    return pieces.encode(docs, k=1, alpha=0.5).select("doc_id", "n_pieces", "log_prob", "round_trip", "ids")
+    return pieces.encode(docs, k=2, alpha=0.5, layout=2 << 20).select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", "round_trip", "ids")
 
 
 STAGES = [

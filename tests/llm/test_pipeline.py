@@ -52,3 +52,10 @@ def test_a_run_leaves_the_tables_of_others(spark, sf):
     assert others.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     common.release(spark)
     assert not common.written()
+
+
+def test_encoding_draws_without_replacement(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 200").limit(20)
+    rows = p.encoded(spark, docs, sf).collect()
+    assert len(rows) == 40 and len({(r["doc_id"], tuple(r["ids"])) for r in rows}) == 40
+    assert all(r["round_trip"] and 0 <= r["inclusion"] <= 1 for r in rows)
