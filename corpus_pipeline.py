@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.llm import decontaminate, exact_dedup, pieces, quality, shingles, simhash
-from lavra.llm.common import documents, drop, materialize, release, row_key, written
+from lavra.llm.common import documents, drop, flagged, free_shuffles, materialize, release, row_key, written
 
 ROW = "lavra_row"  # the column of the row's hash; no input table has it
 
@@ -21,9 +21,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, row_key(docs))
 
 
-def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose hash is in ``rows``, once each."""
-    return _keyed(docs).join(rows.select(ROW).distinct(), ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
+def _settled(docs: DataFrame, fate: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``fate`` (hash, stays: a row for every row of ``docs``) lets go, rows equal in every column once.
+
+    Only rows that go or repeat need looking up: what a bitmap of their hashes points to is shuffled, every other text stays where it is.
+    """
+    odd = fate.groupBy(ROW).agg(F.bool_or("stays").alias("lavra_stays"), F.count("*").alias("n")).where("not lavra_stays or n > 1")
+    odd = materialize(odd.select(ROW, "lavra_stays"), "odd-rows")
+    marked = flagged(_keyed(docs), F.xxhash64(ROW), odd.select(F.xxhash64(ROW).alias("k")), odd.count())
+    rest = marked.where("lavra_flagged").dropDuplicates([ROW]).join(odd, ROW, "left").where("lavra_stays is null or lavra_stays")
+    return marked.where("not lavra_flagged").select(*docs.columns).union(rest.select(*docs.columns))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +48,7 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null counts as empty, so all empty texts are one; a row repeated in every column is one; an empty table stays empty.
     """
-    return _only(docs, exact_dedup.exact_dedup(_keyed(docs), keep=(ROW,)).where("kept"))
+    return _settled(docs, exact_dedup.exact_dedup(_keyed(docs), keep=(ROW,)).select(ROW, F.col("kept").alias("stays")))
 
 
 def one_of_each_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,9 @@ def one_of_each_component(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null counts as empty; empty texts link to each other by their fingerprint; repeated rows are one; an empty
     table stays empty.
     """
-    first = materialize(simhash.near_duplicates(_keyed(docs), keep=(ROW,)).where("first").select("doc_id", ROW).distinct(), "first-of-component")
+    placed = materialize(simhash.near_duplicates(_keyed(docs), keep=(ROW,)).select("doc_id", ROW, F.col("first").alias("stays")), "placed-rows")
+    free_shuffles(spark)
+    first = placed.where("stays").select("doc_id", ROW).distinct()
     salt = 0
     while True:  # rows as longs; anew with another salt should two of them ever share one
         node = F.xxhash64(F.lit(salt), F.col(ROW))
@@ -60,13 +69,15 @@ def one_of_each_component(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         if nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             break
         salt += 1
-    linked = shingles.near_copies(_keyed(docs).withColumn("node", node), id_col="node", only=nodes.select("node"))
+    linked = shingles.near_copies(_keyed(_settled(docs, placed)).withColumn("node", node), id_col="node")
     linked = linked.select(F.col("doc_id").alias("node"), "component_id")
     members = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("component_id", "node"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    stay = materialize(members.groupBy("root").agg(F.min_by(ROW, rank).alias(ROW)).select(ROW), "near-dedup-rows")
-    drop(first)
-    return _only(docs, stay)
+    stay = members.groupBy("root").agg(F.min_by(ROW, rank).alias(ROW)).select(ROW, F.lit(True).alias("chosen"))
+    out = _settled(docs, placed.join(stay, ROW, "left").select(ROW, F.coalesce("chosen", F.lit(False)).alias("stays")))
+    drop(placed)
+    free_shuffles(spark)
+    return out
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +94,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null counts as empty, which has one segmentation without pieces; rows that repeat a doc_id draw alike; an empty
     table gives no rows.
     """
-    return pieces.encode(docs, k=2, alpha=0.5, layout=2 << 20).select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", "round_trip", "ids")
+    return pieces.encode(docs, k=2, alpha=0.5, layout=1 << 19).select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", "round_trip", "ids")
 
 
 STAGES = [

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, id_text, materialize
+from .common import HOT, drop, flagged, free_shuffles, id_text, materialize
 from .components import components
 
 WIDTH, NUM, DEN, SEED = 5, 4, 5, 42
@@ -188,14 +188,39 @@ def _close(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where((num + den) * apart <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(_sets(texts.join(ids, "doc_id", "left_semi"), width), "candidate-shingles")
-    first, second = (sets.select(F.col("doc_id").alias(c), F.col("hs").alias(f"h{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ha", "hb"))
-    similar = pairs.join(first, "a").join(second, "b").where((num + den) * both >= num * (F.size("ha") + F.size("hb"))).select("a", "b")
-    out = materialize(similar, "similar-pairs")
-    drop(sets)
+def _sliced(texts: DataFrame, width: int, slices: int) -> DataFrame:
+    """doc_id, k, hs: the shingles of each document in ``slices`` rows by remainder."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                of = [(h.view(np.uint64) % np.uint64(slices)).astype(np.int32) for h in sets]
+                for k in range(slices):
+                    hs = pa.array([h[x == k] for h, x in zip(sets, of, strict=True)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, k, np.int32)), hs], ["doc_id", "k", "hs"])
+
+    return texts.mapInArrow(run, "doc_id long, k int, hs array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, slices: int = 8) -> DataFrame:
+    """The similar pairs. Whole sets are compared slice by slice, so that no more than a slice of them is shuffled at once."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    many = ids.count()
+    slices = slices if many > HOT else 1
+    marked = flagged(texts, F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("k")), many)  # other texts stay where they are
+    sets = materialize(_sliced(marked.where("lavra_flagged").select("doc_id", "text").join(ids, "doc_id", "left_semi"), width, slices), "candidate-shingles")
+    free_shuffles(texts.sparkSession)
+    counts = []
+    for k in range(slices):
+        first, second = (sets.where(F.col("k") == k).select(F.col("doc_id").alias(c), F.col("hs").alias(f"h{c}")) for c in "ab")
+        met = pairs.join(first, "a").join(second, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"), (F.size("ha") + F.size("hb")).alias("n"))
+        counts.append(materialize(met, "shared-of-pairs"))
+        free_shuffles(texts.sparkSession)
+    total = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("n").alias("n"))
+    out = materialize(total.where((num + den) * F.col("both") >= num * F.col("n")).select("a", "b"), "similar-pairs")
+    drop(ids, sets, *counts)
     return out
 
 
@@ -209,6 +234,7 @@ def near_copies(
     index = materialize(index if only is None else index.join(only.select(F.col(only.columns[0]).alias("doc_id")), "doc_id", "left_semi"), "shingle-index")
     filed = index.select(F.posexplode("prefix").alias("pos", "h"), "n", "doc_id").select("h", "n", "doc_id", "pos")
     entries = materialize(_shared(filed), "shared-shingles")
+    free_shuffles(docs.sparkSession)
     rows, edges, lo, hi = entries.withColumn("comp", F.col("doc_id")), [], 1, window + 1
     while True:
         pairs = materialize(_pairs(rows, lo, hi, num, den), "candidate-pairs")

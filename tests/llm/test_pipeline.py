@@ -59,3 +59,21 @@ def test_encoding_draws_without_replacement(spark, sf):
     rows = p.encoded(spark, docs, sf).collect()
     assert len(rows) == 40 and len({(r["doc_id"], tuple(r["ids"])) for r in rows}) == 40
     assert all(r["round_trip"] and 0 <= r["inclusion"] <= 1 for r in rows)
+
+
+def test_only_rows_that_go_or_repeat_are_looked_up(spark, docs):
+    """Of 4,000 rows 40 go and some repeat: those are shuffled, with few others, and repeated ones stay once."""
+    from pyspark.sql import functions as F
+
+    from lavra.llm.common import flagged
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = rows.union(rows.where("doc_id < 30"))
+    fate = p._keyed(rows).select(p.ROW, (F.col("doc_id") % 100 != 7).alias("stays"))
+    out = p._settled(rows, fate)
+    assert sorted(r["doc_id"] for r in out.collect()) == [i for i in range(4000) if i % 100 != 7]
+    gone = p._keyed(rows.where("doc_id % 100 = 7")).select(F.xxhash64(p.ROW).alias("k"))
+    marked = flagged(p._keyed(rows), F.xxhash64(p.ROW), gone, gone.count())
+    assert marked.where("doc_id % 100 = 7 and not lavra_flagged").count() == 0
+    assert marked.where("lavra_flagged").count() < 80
+    assert p._settled(docs, p._keyed(docs).select(p.ROW, F.lit(True).alias("stays"))).count() == docs.distinct().count()

@@ -63,3 +63,12 @@ def test_pipeline_keeps_one_of_near_copies(spark, sf):
         docs = p.materialize(stage(spark, docs, sf), name)
     left = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert left and brute(left) == {}
+
+
+def test_sets_compared_in_slices(docs, rows, spark, sf, given, monkeypatch):
+    """Whole sets go a slice at a time, none of them with all shingles of a document, and the pairs are the same."""
+    monkeypatch.setattr(m, "HOT", 0)
+    shared = []
+    monkeypatch.setattr(m, "materialize", lambda df, name, put=m.materialize: shared.append(name) or put(df, name))
+    assert got(docs) == brute([r[:2] for r in rows])
+    assert shared.count("shared-of-pairs") >= 8
