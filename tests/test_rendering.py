@@ -74,3 +74,14 @@ def test_runs_hold_the_text_of_their_blocks(spark, sf):
     blocks = {(r["doc_id"], r["idx"]): r["text"] for r in readers.html_blocks(pages).where("kind = 'para' and text <> ''").collect()}
     runs = {(r["doc_id"], r["idx"]): readers.clean("".join(x["text"] for x in r["runs"])) for r in readers.html_runs(pages).collect()}
     assert blocks and {k: v for k, v in runs.items() if v} == blocks
+
+
+def test_runs_are_handed_over_as_they_come():
+    """A batch of many files makes many small frames, not one of all their paragraphs; files that can't be read have none."""
+    from lavra.sources import readers
+
+    def parse(n):
+        return [{"runs": [n]}] * n + [{}]
+
+    frames = list(readers.run_frames([(i, 1000) for i in range(30)] + [(99, None)], parse))
+    assert max(map(len, frames)) < readers.FRAME + 1000 and sum(map(len, frames)) == 30_000
