@@ -20,3 +20,30 @@ def test_quotations_by_hand(spark):
     ]
     held = quotation.numbered_runs(df).where(F.col("run").isNotNull() != F.col("quoted"))
     assert held.isEmpty()  # every quoted block has a run and no other has
+
+
+def test_blocks_are_dealt_once(spark, sf):
+    """From lines to routes the rows are keyed by document all along: two exchanges, one for the blocks and one for the bands' side."""
+    from lavra.plans.queries import QUERIES
+
+    plan = QUERIES["coverage_gate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+ODD = ["", " ", "(...)", "[…]", " ( .. ) ", ". . . .", "·.…....", "a......", "a ......\x85", "a… ", "b(…)", "x)", "Lei 1:", "art. 3 -\x85", "diz “ art. 5", '"Art. 2º', "«art 9", " Lei 2, art. 3", "ſúmula 7, art. 1", "ſeção I x", "Seção I x", "S⁠eção II y", "Parte", "p", "Lei nº 8, de 1990, art. 2", "decreto-lei.", "a) b", "I - c", "Ato. 3"]
+
+
+def test_first_characters_rule_out_no_match(spark):
+    """What the first and last characters rule out, the patterns alone don't find either."""
+    from lavra.functions import labels as L
+
+    t = L.stripped(F.col("text"))
+    alone = {
+        "bracketed": (L.is_omissis(F.col("text")), (t != "") & (t.rlike(L.OMISSIS_BRACKETED) | t.rlike(L.OMISSIS))), "carries": (L.carries_omissis(F.col("text")), (t != "") & t.rlike(L.OMISSIS_TRAILING)),
+        "number": (L.article_number(F.col("text")), F.nullif(F.regexp_extract(t, L.ARTICLE, 1), F.lit("")).try_cast("int")), "head": (L.quotation_head(F.col("text")), L._norm_head(t)),
+        "names": (L.names_norm(F.col("text")), (t.rlike("[:–—-]$") | t.rlike("(?i)[\"“]\\s*art")) & (t.rlike(L.ARTICLE_REFERENCE) | L.fold(t).rlike(L.NORM))),
+        "division": (F.coalesce(L.parse_label(F.col("text"))["kind"].isin(*L.DIVISIONS), F.lit(False)), F.coalesce(L._division(t, L.fold(t), F.lit(False)).isNotNull(), F.lit(False))),
+    }
+    df = spark.createDataFrame([(x,) for x in ODD], "text string")
+    for name, (ours, plain) in alone.items():
+        assert df.where(~ours.eqNullSafe(plain)).collect() == [], name
