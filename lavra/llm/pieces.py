@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import id_text
+from .common import id_text, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # default of the ``model_file`` parameter
 SPACE = "▁"
@@ -383,7 +383,7 @@ def encode(
             if ids:
                 yield _encoded(voc, ids, texts, k, alpha, seed, with_ids)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)
 
 
 def _encoded(voc, docs, texts, k, alpha, seed, with_ids) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, released
 from .training import HELD_OUT, fold, labelled_sample
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model | None, good: int | None = None, id_col:
                 ["doc_id", "expected_grade", "tail_probability"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
+    return texts.mapInArrow(released(run), "doc_id long, expected_grade double, tail_probability double")
 
 
 def select(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, good: int | None = None, at_least: float = 0.5, text_col: str = "text", sample_mb: float = 32.0) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, drop, flagged, free_shuffles, id_text, materialize
+from .common import HOT, drop, flagged, free_shuffles, id_text, materialize, released
 from .components import components
 
 WIDTH, NUM, DEN, SEED = 5, 4, 5, 42
@@ -64,7 +64,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                 sets = pa.array([shingles(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "hs"])
 
-    return texts.mapInArrow(run, "doc_id long, hs array<long>")
+    return texts.mapInArrow(released(run), "doc_id long, hs array<long>")
 
 
 def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def _index(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     ["doc_id", "n", *names, "prefix"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, n int, " + ", ".join(f"{c} long" for c in names) + ", prefix array<long>")
+    return texts.mapInArrow(released(run), "doc_id long, n int, " + ", ".join(f"{c} long" for c in names) + ", prefix array<long>")
 
 
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -201,7 +201,7 @@ def _sliced(texts: DataFrame, width: int, slices: int) -> DataFrame:
                     hs = pa.array([h[x == k] for h, x in zip(sets, of, strict=True)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, k, np.int32)), hs], ["doc_id", "k", "hs"])
 
-    return texts.mapInArrow(run, "doc_id long, k int, hs array<long>")
+    return texts.mapInArrow(released(run), "doc_id long, k int, hs array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, slices: int = 8) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import HOT, drop, id_text, materialize
+from .common import HOT, drop, id_text, materialize, released
 from .components import components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = id_text(docs, id_col, text_col, *keep)
     schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *(texts.schema[c] for c in keep)])
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(released(run), schema)
 
 
 def correlations(distinct: DataFrame) -> tuple[int, np.ndarray]:
