@@ -17,7 +17,7 @@ def test_filters_do_not_repeat_the_walk(spark, sf, name):
     assert plan.count("ArrowEvalPython") == 1
 
 
-@pytest.mark.parametrize(("name", "walks"), [("xml_published", 2)])
+@pytest.mark.parametrize(("name", "walks"), [("xml_published", 2), ("region_runs", 0)])
 def test_a_text_is_made_once_for_each_reading(spark, sf, name, walks):
     """Filters on the text were pushed below what makes it, which wrote it out some fifty times; published documents were analysed twice, runs located twice."""
     query = plans.QUERIES[name](spark, sf)._jdf.queryExecution()
