@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import labels as L
 from lavra.functions.arrow import values
-from lavra.operators import articulation
+from lavra.operators import articulation, bundles, corpus, parts, profiles
 from lavra.plans import queries as plans
 from lavra.plans.corpus import legal_blocks
 
@@ -41,6 +41,15 @@ def test_items_count_from_the_last_article_or_paragraph(spark):
     assert none is None
 
 
+def test_units_come_with_the_tree_of_a_body(spark, sf):
+    blocks = legal_blocks(spark, sf).where("doc_id < 400")
+    docs = corpus.kept(parts.located(blocks, profiles.identity(blocks)))
+    assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not merged
+    whole = bundles.routed(bundles.assembled(docs)).where("route = 'norma'").select("doc_id", "units").collect()
+    apart = {r["doc_id"]: r["units"] for r in bundles.statutes(docs).collect()}
+    assert whole and {r["doc_id"]: r["units"] for r in whole} == {r["doc_id"]: apart.get(r["doc_id"]) for r in whole}
+
+
 def test_few_bytes_do_not_make_few_tasks(spark, sf):
     blocks = legal_blocks(spark, sf)
     blocks.count()
