@@ -19,7 +19,7 @@ def test_filters_do_not_repeat_the_walk(spark, sf, name):
 
 @pytest.mark.parametrize(("name", "walks"), [("xml_published", 2), ("region_runs", 0)])
 def test_a_text_is_made_once_for_each_reading(spark, sf, name, walks):
-    """Filters on the text were pushed below what makes it, which wrote it out some fifty times; published documents were analysed twice, runs located twice."""
+    """Filters on the text were pushed below what makes it, which wrote it out at each mention; published documents were analysed twice, runs located twice."""
     query = plans.QUERIES[name](spark, sf)._jdf.queryExecution()
     assert query.optimizedPlan().toString().count("Texto do artigo citado") <= 2
     assert query.executedPlan().toString().count("ArrowEvalPython") == walks
